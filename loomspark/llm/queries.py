@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loomspark.llm import exact_dedup
+from loomspark.llm import bpe, exact_dedup
 
 QUERIES = {
+    "op3_byte_bpe": bpe.query,
     "op7_exact_dedup": exact_dedup.query,
 }
 
