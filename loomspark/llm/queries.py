@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from loomspark.llm import bpe, exact_dedup
+from loomspark.llm import bpe, exact_dedup, mixing
 
 QUERIES = {
     "op3_byte_bpe": bpe.query,
     "op7_exact_dedup": exact_dedup.query,
+    "op9_mix": mixing.query,
 }
 
 ORACLES = {
