@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from loomspark.llm import bpe, exact_dedup, mixing
+from loomspark.llm import bpe, exact_dedup, mixing, resharding
 
 QUERIES = {
     "op3_byte_bpe": bpe.query,
+    "op6_reshard": resharding.query,
     "op7_exact_dedup": exact_dedup.query,
     "op9_mix": mixing.query,
 }
