@@ -72,3 +72,12 @@ def prefix_sums(rows: DataFrame, group: list[str], order: list[str], amount: str
         .withColumn(out, F.col("__start") + F.col("__before"))
         .drop("__bucket", "__b", "__start", "__before", *[f"__g{i}" for i in range(len(group))])
     )
+
+
+def exploded_range(df: DataFrame, size: Column | int, out: str, at_once: int = 65_536) -> DataFrame:
+    """``df`` with a row for each ``out`` from 0 to ``size`` - 1, in two steps, so that no row holds a long array."""
+    size = F.lit(size).cast("long") if isinstance(size, int) else size
+    df = df.withColumn("__end", size).where("__end > 0")
+    df = df.withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__end") - 1, F.lit(at_once).cast("long"))))
+    upto = F.least(F.col("__from") + at_once, F.col("__end")) - 1
+    return df.withColumn(out, F.explode(F.sequence(F.col("__from"), upto))).drop("__end", "__from")

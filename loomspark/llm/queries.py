@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loomspark.llm import bpe, exact_dedup, mixing, resharding
+from loomspark.llm import bpe, exact_dedup, mixing, resharding, topk
 
 QUERIES = {
+    "op2_topk": topk.query,
     "op3_byte_bpe": bpe.query,
     "op6_reshard": resharding.query,
     "op7_exact_dedup": exact_dedup.query,
@@ -12,5 +13,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_topk": topk.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
 }
