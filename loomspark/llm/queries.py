@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loomspark.llm import bpe, exact_dedup, mixing, resharding, topk
+from loomspark.llm import bpe, exact_dedup, langid, mixing, resharding, topk
 
 QUERIES = {
+    "op1_langid": langid.query,
     "op2_topk": topk.query,
     "op3_byte_bpe": bpe.query,
     "op6_reshard": resharding.query,
