@@ -28,7 +28,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in order, repeating; share of all words that the mix has; most times a source is repeated.
 WEIGHTS, SHARE, REPEATS = (3, 1, 2), 1.5, 2
 #: Words in a block, slots in an output shard, slots that one row of the draw unfolds to.
-BLOCK_WORDS, SHARD_SLOTS, UNFOLD = 64, 4096, 65_536
+BLOCK_WORDS, SHARD_SLOTS, UNFOLD = 64, 4096, 8192
 SEED = 20
 
 
@@ -97,7 +97,9 @@ def drawn(plan: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) ->
     chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(UNFOLD).cast("long"))).alias("chunk")
     chunks = plan.where("slots > 0").select("source", "blocks", "slots", "first_slot", "all_slots", chunk)
     inside = F.sequence(F.col("chunk"), F.least(F.col("chunk") + UNFOLD, F.col("slots")) - 1)
-    slots = chunks.repartition(F.col("source"), F.col("chunk")).withColumn("rank", F.explode(inside))
+    # A fixed number of partitions: rows that unfold to so many must not be put together for being few now.
+    parts = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = chunks.repartition(parts, F.col("source"), F.col("chunk")).withColumn("rank", F.explode(inside))
     place = permuted(F.col("first_slot") + F.col("rank"), F.col("all_slots"), F.lit(seed))
     turn = F.floor(F.col("rank") / F.col("blocks")).cast("long")
     block = permuted(F.pmod("rank", "blocks"), F.col("blocks"), F.lit(seed), F.coalesce("source", F.lit("\x00")), turn)
@@ -143,7 +145,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = stored(_streams(docs, id_col, text_col, source_col), "mix-streams")
     plan = planned(rows.groupBy("source").agg(F.sum("size").alias("source_size")), block_words, **weights)
     times = _named(drawn(plan, seed=seed).groupBy("source", "block").agg(F.count("*").alias("times")))
-    took = _segments(rows, block_words).join(times, _same_block(), "left")
+    # Slots grow with the input, and the planner takes what was unfolded for small: no broadcast.
+    took = _segments(rows, block_words).join(times.hint("merge"), _same_block(), "left")
     took = took.groupBy("doc_id", "source", "size", "tie", "start").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
     took = took.drop("start").unionByName(rows.where("size = 0").select("doc_id", "source", "size", "tie", F.lit(0).cast("long").alias("taken")))
     sources = plan.select(F.col("source").alias("__source"), "source_size", "target")
@@ -160,7 +163,7 @@ def mixed_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     piece = F.array_join(F.slice(F.regexp_extract_all("__text", F.lit(WORD), F.lit(0)), (F.col("begin") - F.col("start") + 1).cast("int"), F.col("words").cast("int")), " ")
     packed = cut.select("source", "block", "begin", piece.alias("piece")).groupBy("source", "block")
     packed = packed.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("begin", "piece"))), lambda x: x["piece"]), " ").alias("text"))
-    return drawn(plan, shard_slots, seed).join(_named(packed), _same_block()).drop("__source", "__block")
+    return drawn(plan, shard_slots, seed).join(_named(packed).hint("merge"), _same_block()).drop("__source", "__block")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:

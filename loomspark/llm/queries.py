@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspark.llm import bpe, exact_dedup, langid, mixing, resharding, topk
+from loomspark.llm import bpe, exact_dedup, langid, minhash, mixing, resharding, topk
 
 QUERIES = {
     "op1_langid": langid.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_reshard": resharding.query,
     "op7_exact_dedup": exact_dedup.query,
     "op9_mix": mixing.query,
+    "op10_minhash": minhash.query,
 }
 
 ORACLES = {
