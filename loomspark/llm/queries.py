@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspark.llm import bpe, exact_dedup, langid, minhash, mixing, resharding, topk
+from loomspark.llm import bpe, exact_dedup, langid, minhash, mixing, resharding, secrets, topk
 
 QUERIES = {
     "op1_langid": langid.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_byte_bpe": bpe.query,
     "op6_reshard": resharding.query,
     "op7_exact_dedup": exact_dedup.query,
+    "op8_secrets": secrets.query,
     "op9_mix": mixing.query,
     "op10_minhash": minhash.query,
 }
