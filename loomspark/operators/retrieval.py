@@ -10,6 +10,10 @@ from loomspark.functions.text import tokenize
 from loomspark.functions.vectors import cosine
 
 
+def _occurrences(words: Column, term: str) -> Column:
+    return F.size(F.filter(words, lambda w: w == F.lit(term))).cast("double")
+
+
 def bm25(chunks: DataFrame, terms: list[str], id_col: str, text_col: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """id, score: BM25 over the query's number of terms, then over the largest score (at least 1).
 
@@ -18,7 +22,7 @@ def bm25(chunks: DataFrame, terms: list[str], id_col: str, text_col: str, k1: fl
     """
     weight = {t: terms.count(t) for t in terms}
     words = tokenize(text_col)
-    rows = chunks.select(F.col(id_col), F.size(words).cast("double").alias("len"), *[F.size(F.filter(words, lambda w, t=t: w == t)).cast("double").alias(f"tf{i}") for i, t in enumerate(weight)])
+    rows = chunks.select(F.col(id_col), F.size(words).cast("double").alias("len"), *[_occurrences(words, t).alias(f"tf{i}") for i, t in enumerate(weight)])
     facts = rows.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avg_len"), *[F.sum((F.col(f"tf{i}") > 0).cast("double")).alias(f"df{i}") for i in range(len(weight))])
     score = F.lit(0.0)
     for i, n in enumerate(weight.values()):

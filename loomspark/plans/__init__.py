@@ -1,0 +1,3 @@
+"""Queries by name. Importing this package registers all of them."""
+
+from loomspark.plans import relational, retrieval  # noqa: F401
