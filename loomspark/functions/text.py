@@ -19,6 +19,11 @@ def ratio(a: Column, b: Column, empty: float = 0.0) -> Column:
     return F.when(b == 0, F.lit(empty)).otherwise(a.cast("double") / b.cast("double"))
 
 
+def bound(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once: an expression named in a lambda is worked out for every element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def tokenize(text: Column | str) -> Column:
     """Lower-case words."""
     return F.filter(F.split(F.regexp_replace(F.lower(col(text)), r"[^\w\sæøå]", " "), r"\s+"), lambda w: w != "")
@@ -35,9 +40,12 @@ def word_set(text: Column | str, size: int = 0) -> Column:
 
 def word_ngrams(words: Column, n: int) -> Column:
     """Distinct runs of n words, joined by spaces; none for fewer than n words."""
-    last = F.size(words) - n + 1
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(last >= 1, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    def grams(w: Column) -> Column:
+        last = F.size(w) - n + 1
+        found = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(last >= 1, F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
+
+    return bound(words, grams)
 
 
 def fingerprint(text: Column | str, n: int = 4) -> Column:
@@ -60,7 +68,7 @@ def overlap(a: Column, b: Column, empty: float = 0.0) -> Column:
 def keyword_overlap(a: Column, b: Column) -> Column:
     """(equal words + half for each of ``a`` that contains or is contained in a word of ``b``) / the smaller size."""
     exact = F.size(F.array_intersect(a, b))
-    part = F.size(F.filter(F.array_except(a, b), lambda x: F.exists(b, lambda y: x.contains(y) | y.contains(x))))
+    part = bound(b, lambda own: F.size(F.filter(F.array_except(a, own), lambda x: F.exists(own, lambda y: x.contains(y) | y.contains(x)))))
     return ratio(exact + part * F.lit(0.5), F.least(F.size(a), F.size(b)))
 
 
@@ -87,7 +95,7 @@ def char_similarity(a: Column | str, b: Column | str) -> Column:
     """Characters of the shorter text that the longer contains, over the longer's length."""
     a, b = col(a), col(b)
     short, long_ = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
-    hits = F.size(F.filter(F.split(short, ""), lambda c: (c != "") & long_.contains(c)))
+    hits = bound(long_, lambda own: F.size(F.filter(F.split(short, ""), lambda c: (c != "") & own.contains(c))))
     return F.when(F.length(long_) == 0, 1.0).otherwise(hits.cast("double") / F.length(long_))
 
 
@@ -165,16 +173,13 @@ def balanced(text: Column | str) -> Column:
 
 def compress_numbers(numbers: Column) -> Column:
     """Sorted distinct integers as ranges: 1-3, 5."""
-    sorted_ = F.array_sort(F.array_distinct(numbers))
-    keyed = F.transform(sorted_, lambda x, i: F.struct((x - i).alias("island"), x.alias("x")))
-    islands = F.array_distinct(F.transform(keyed, lambda k: k["island"]))
-
-    def shown(g: Column) -> Column:
-        own = F.transform(F.filter(keyed, lambda k: k["island"] == g), lambda k: k["x"])
-        low, high = F.array_min(own), F.array_max(own)
-        return F.when(low == high, low.cast("string")).otherwise(F.concat_ws("-", low, high))
+    def ranges(sorted_: Column) -> Column:
+        # A number begins a range if it follows no other, and ends one if no other follows it.
+        starts = F.filter(sorted_, lambda x: ~F.array_contains(sorted_, x - 1))
+        ends = F.filter(sorted_, lambda x: ~F.array_contains(sorted_, x + 1))
+        return F.array_join(F.zip_with(starts, ends, lambda a, b: F.when(a == b, a.cast("string")).otherwise(F.concat_ws("-", a, b))), ", ")
 
-    return F.array_join(F.transform(islands, shown), ", ")
+    return bound(F.array_sort(F.array_distinct(numbers)), ranges)
 
 
 def clean_markup(text: Column | str) -> Column:
