@@ -48,7 +48,7 @@ def permuted(index: Column, size: Column, *key: Column) -> Column:
     b = F.ceil(size / a).cast("long")
 
     def network(x: Column) -> Column:
-        high, low = F.expr("0L") + F.floor(x / b).cast("long"), F.pmod(x, b)
+        high, low = F.call_function("div", x, b), F.pmod(x, b)
         for n in range(3):
             high = F.pmod(high + F.pmod(F.xxhash64(F.lit(2 * n), *key, low), a), a)
             low = F.pmod(low + F.pmod(F.xxhash64(F.lit(2 * n + 1), *key, high), b), b)

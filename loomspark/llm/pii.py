@@ -51,7 +51,7 @@ SYLLABLES = {
     "latin": ["ba", "del", "fen", "gor", "han", "kel", "lin", "mar", "nor", "pel", "ros", "sten", "tal", "ven", "wil", "zan"],
     "cyrillic": ["ба", "вел", "гор", "дан", "кол", "лен", "мар", "нов", "пет", "рос", "сал", "тар", "фед", "чер", "шан", "яр"],
 }
-#: The digits of an e-mail's domain and its letters change, its last label and dots stay.
+#: The key of the draws; give one of your own.
 KEY = "loomspark-surrogates"
 
 
