@@ -58,20 +58,20 @@ def coverage_catch_all(spark, d):
 
 
 @query("merge_groups", """
-SELECT l_suppkey % 7 AS component, list_sort(list(DISTINCT l_orderkey)) AS members, min_by(l_shipmode_like, (-length(l_shipmode_like), l_shipmode_like)) AS summary
-FROM (SELECT *, l_returnflag || repeat('x', CAST(l_linenumber AS INT)) AS l_shipmode_like FROM lineitem WHERE l_quantity >= 50) GROUP BY 1""")
+SELECT l_suppkey AS component, list_sort(list(DISTINCT l_orderkey)) AS members, min_by(l_shipmode_like, (-length(l_shipmode_like), l_shipmode_like)) AS summary
+FROM (SELECT *, l_returnflag || repeat('x', CAST(l_linenumber AS INT)) AS l_shipmode_like FROM lineitem) GROUP BY 1""")
 def merge_groups(spark, d):
-    rows = read(spark, d, "lineitem").where("l_quantity >= 50")
-    rows = rows.select((F.col("l_suppkey") % 7).alias("component"), "l_orderkey", F.concat("l_returnflag", F.repeat(F.lit("x"), F.col("l_linenumber").cast("int"))).alias("s"))
+    rows = read(spark, d, "lineitem")
+    rows = rows.select(F.col("l_suppkey").alias("component"), "l_orderkey", F.concat("l_returnflag", F.repeat(F.lit("x"), F.col("l_linenumber").cast("int"))).alias("s"))
     return A.merged_groups(rows, "component", "l_orderkey", "s")
 
 
 @query("overlapping_groups", """
-WITH m AS (SELECT DISTINCT s_nationkey AS g, p_size AS member FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_quantity = 50),
+WITH m AS (SELECT DISTINCT s_nationkey AS g, p_size AS member FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey),
 s AS (SELECT g, count(*) AS n FROM m GROUP BY 1), c AS (SELECT a.g AS g1, b.g AS g2, count(*) AS common FROM m a JOIN m b USING (member) WHERE a.g < b.g GROUP BY 1, 2)
 SELECT g1, g2, common, round(common / least(x.n, y.n), 6) AS coefficient FROM c JOIN s x ON x.g = g1 JOIN s y ON y.g = g2 WHERE common / least(x.n, y.n) >= 0.5 AND greatest(x.n, y.n) > 1""")
 def overlapping_groups(spark, d):
-    rows = read(spark, d, "lineitem").where("l_quantity = 50").join(read(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = read(spark, d, "lineitem").join(read(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return A.overlapping_groups(rows, "s_nationkey", "p_size").withColumn("coefficient", F.round("coefficient", 6))
 
 

@@ -9,14 +9,14 @@ from loomspark.operators import positions as P
 from loomspark.plans.registry import query
 from loomspark.sources.tables import read
 
-_POS = r"""m AS (SELECT l_partkey, list_sort(list(DISTINCT l_suppkey)) AS members FROM lineitem WHERE l_quantity >= 40 GROUP BY 1),
+_POS = r"""m AS (SELECT l_partkey, list_sort(list(DISTINCT l_suppkey)) AS members FROM lineitem GROUP BY 1),
 pos AS (SELECT p_partkey AS id, p_brand AS theme, p_type AS title, members, list_distinct(list_filter(string_split_regex(regexp_replace(lower(p_type), '[^\w\sæøå]', ' ', 'g'), '\s+'), lambda w: w <> '')) AS w
   FROM part JOIN m ON l_partkey = p_partkey),
 pr AS (SELECT a.id AS i, b.id AS j, a.members AS x, b.members AS y, len(a.members) AS n, len(b.members) AS k, len(list_intersect(a.w, b.w)) / CAST(len(list_distinct(a.w || b.w)) AS DOUBLE) AS sim FROM pos a JOIN pos b ON a.theme = b.theme AND a.id <> b.id)"""
 
 
 def positions(spark, d):
-    members = read(spark, d, "lineitem").where("l_quantity >= 40").groupBy("l_partkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("members"))
+    members = read(spark, d, "lineitem").groupBy("l_partkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("members"))
     return read(spark, d, "part").join(members, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("theme"), F.col("p_type").alias("title"), "members")
 
 
@@ -27,10 +27,10 @@ def redundant_pairs(spark, d):
     return out.select("id_1", "id_2", F.round("title_sim", 6).alias("title_sim"), F.round("overlap", 6).alias("overlap"))
 
 
-@query("micro_best_match", f"""WITH {_POS}, r AS (SELECT i, j, sim, row_number() OVER (PARTITION BY i ORDER BY sim DESC, k DESC, j) AS r FROM pr WHERE n <= 4 AND k > 4 AND sim >= 0.3)
+@query("micro_best_match", f"""WITH {_POS}, r AS (SELECT i, j, sim, row_number() OVER (PARTITION BY i ORDER BY sim DESC, k DESC, j) AS r FROM pr WHERE n <= 25 AND k > 25 AND sim >= 0.3)
 SELECT i AS small, j AS large, round(sim, 6) AS sim FROM r WHERE r = 1""")
 def micro_best_match(spark, d):
-    out = P.best_for_small(positions(spark, d), "id", "theme", "title", "members", 4, 0.3)
+    out = P.best_for_small(positions(spark, d), "id", "theme", "title", "members", 25, 0.3)
     return out.select("small", "large", F.round("sim", 6).alias("sim"))
 
 
@@ -46,7 +46,7 @@ def merge_candidates(spark, d):
 
 
 @query("closest_theme", r"""
-WITH n AS (SELECT DISTINCT p_type AS name FROM part), t AS (SELECT DISTINCT p_type AS theme FROM part WHERE p_partkey % 3 = 0),
+WITH n AS (SELECT DISTINCT p_name AS name FROM part), t AS (SELECT DISTINCT string_split(p_name, ' ')[2] AS theme FROM part),
 w AS (SELECT name, theme, list_distinct(string_split(lower(name), ' ')) AS a, list_distinct(string_split(lower(theme), ' ')) AS b FROM n CROSS JOIN t),
 s AS (SELECT name, theme, len(list_intersect(a, b)) / CAST(len(list_distinct(a || b)) AS DOUBLE) AS sim FROM w),
 c AS (SELECT name, theme, CASE WHEN lower(name) = lower(theme) THEN 3.0 WHEN contains(lower(name), lower(theme)) OR contains(lower(theme), lower(name)) THEN 2.0 WHEN sim > 0.25 THEN sim END AS score FROM s),
@@ -54,7 +54,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC NULLS L
 SELECT name, CASE WHEN score IS NOT NULL THEN theme END AS theme, round(CAST(score AS DOUBLE), 6) AS score FROM r WHERE r = 1""")
 def closest_theme(spark, d):
     parts = read(spark, d, "part")
-    out = P.closest_theme(parts.select(F.col("p_type").alias("name")), parts.where("p_partkey % 3 = 0").select(F.col("p_type").alias("theme")), "name", "theme")
+    out = P.closest_theme(parts.select(F.col("p_name").alias("name")), parts.select(F.get(F.split("p_name", " "), 1).alias("theme")), "name", "theme")
     return out.select("name", "theme", F.round("score", 6).alias("score"))
 
 
@@ -65,13 +65,13 @@ def orphan_members(spark, d):
 
 
 @query("count_labels", """
-WITH n AS (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_custkey % 40 = 0 GROUP BY 1),
+WITH n AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1),
 w AS (SELECT *, CASE WHEN n <= 12 THEN ['én','to','tre','fire','fem','seks','syv','otte','ni','ti','elleve','tolv'][n] ELSE CAST(n AS VARCHAR) END AS word FROM n)
-SELECT c_nationkey, upper(substr(word, 1, 1)) || substr(word, 2) || ' ' || CASE WHEN n = 1 THEN 'borger' ELSE 'borgere' END AS label, CAST(n AS INT) AS parsed FROM w""")
+SELECT o_custkey, upper(substr(word, 1, 1)) || substr(word, 2) || ' ' || CASE WHEN n = 1 THEN 'borger' ELSE 'borgere' END AS label, CAST(n AS INT) AS parsed FROM w""")
 def count_labels(spark, d):
-    rows = read(spark, d, "customer").where("c_custkey % 40 = 0").groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    rows = read(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
     rows = rows.withColumn("label", L.with_noun("n"))
-    return rows.select("c_nationkey", "label", L.parsed_count("label").alias("parsed"))
+    return rows.select("o_custkey", "label", L.parsed_count("label").alias("parsed"))
 
 
 @query("member_labels", """

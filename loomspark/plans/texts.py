@@ -121,13 +121,13 @@ def keyword_classes(spark, d):
 
 
 @query("title_rules", """
-WITH t AS (SELECT conv_id, turn, substr(text, 1, 60) AS title FROM conversations)
-SELECT conv_id, turn, list_filter([CASE WHEN length(title) < 15 THEN 'too short' END, CASE WHEN contains(title, ':') THEN 'colon' END, CASE WHEN title LIKE '%...' OR title LIKE '%…' THEN 'truncated' END,
+WITH t AS (SELECT p_partkey, p_name AS title FROM part)
+SELECT p_partkey, list_filter([CASE WHEN length(title) < 15 THEN 'too short' END, CASE WHEN contains(title, ':') THEN 'colon' END, CASE WHEN title LIKE '%...' OR title LIKE '%…' THEN 'truncated' END,
   CASE WHEN regexp_matches(title, '^[a-z]') THEN 'lower case start' END], lambda x: x IS NOT NULL) AS errors FROM t""")
 def title_rules(spark, d):
     from loomspark.operators.rules import title_errors
 
-    return read(spark, d, "conversations").select("conv_id", "turn", title_errors(F.substring("text", 1, 60)).alias("errors"))
+    return read(spark, d, "part").select("p_partkey", title_errors(F.col("p_name")).alias("errors"))
 
 
 @query("edge_case_screen", r"""
