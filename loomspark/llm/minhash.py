@@ -33,13 +33,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomspark.llm.common import stored, table, text_of
+from loomspark.llm.common import bucketed, stored, table, text_of
 from loomspark.llm.components import components
 
 #: Words in a shingle, least similarity, registers, bands and registers in a band.
 WORDS, LEAST, REGISTERS, BANDS, ROWS = 5, 0.8, 128, 32, 4
 #: Rows of a family that one task compares: members outside the largest class, and members of all classes.
-OPEN_BLOCK, MEMBER_BLOCK = 256, 1024
+OPEN_BLOCK, MEMBER_BLOCK = 2048, 1024
 
 _U = np.uint64
 _BYTE = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64)
@@ -130,11 +130,16 @@ def content(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))
 
 
+def key_of(text: Column) -> Column:
+    """128 bits of the SHA-256 of a content: contents are taken for equal by it."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
 def contents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """key, text, first_id, copies: one row per different content, stored."""
+    """key, text, first_id, copies: one row per different content, bucketed by key, so that later joins leave texts in place."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), content(text_of(text_col)).alias("text"))
-    rows = rows.withColumn("key", F.unhex(F.md5("text")))
-    return stored(rows.groupBy("key", "text").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "contents")
+    one = rows.withColumn("key", key_of(F.col("text"))).groupBy("key")
+    return bucketed(one.agg(F.min("text").alias("text"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "contents", "key")
 
 
 def banded(rows: DataFrame) -> DataFrame:
@@ -237,7 +242,7 @@ def classes(rows: DataFrame, least: float = LEAST) -> DataFrame:
     tested = stars(stored(banded(rows), "bands"))
     tested = stored(tested, "pairs")
     wanted = tested.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = stored(rows.join(wanted, "key", "left_semi").select("key", "text"), "texts")
+    texts = bucketed(rows.join(wanted, "key", "left_semi").select("key", "text"), "texts", "key")
     checked = stored(verified(tested, texts, least), "checked")
     links = checked.where("linked").select("a", "b")
     links = stored(links.unionByName(rest_links(checked, links, texts, least)), "links")
@@ -251,7 +256,7 @@ def classes(rows: DataFrame, least: float = LEAST) -> DataFrame:
 def near_duplicates(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (smallest id of the class), class_size, kept (whether the id names the class) of every row."""
     found = stored(classes(contents(docs, id_col, text_col), least), "classes")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(content(text_of(text_col)))).alias("key"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), key_of(content(text_of(text_col))).alias("key"))
     out = rows.join(found.drop("first_id"), "key")
     return out.select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
@@ -262,7 +267,7 @@ def drop_near_duplicates(docs: DataFrame, least: float = LEAST, id_col: str = "d
     first = found.where(F.col("first_id").eqNullSafe(F.col("class_id")))
     # Contents that share their smallest id, as rows that repeat an id may: one of them stays.
     first = first.groupBy("class_id", "class_size").agg(F.min("key").alias("__key"), F.first("first_id").alias("__id")).select("__key", "__id")
-    mine = docs.withColumn("__content", F.unhex(F.md5(content(text_of(text_col)))))
+    mine = docs.withColumn("__content", key_of(content(text_of(text_col))))
     kept = mine.join(first, (F.col("__content") == F.col("__key")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_semi")
     if not docs.groupBy(id_col).count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["__content"])
