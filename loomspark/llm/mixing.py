@@ -36,27 +36,44 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def permuted(index: Column, size: Column, *key: Column) -> Column:
-    """A keyed permutation of 0 to ``size`` - 1, computed for one index.
+def bound(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once, for use where columns cannot be named."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
-    Indexes are pairs of digits, of bases a and b with a * b at least ``size``. Each round adds to one digit a hash of the
-    other, which can be undone, so the network permutes the pairs; a value past the end is put in again until it is
-    inside (fewer than a values are outside, which bounds the loop).
-    """
-    a = F.ceil(F.sqrt(size.cast("double"))).cast("long")
-    a = F.when(a * a < size, a + 1).otherwise(a)
-    b = F.ceil(size / a).cast("long")
 
-    def network(x: Column) -> Column:
-        high, low = F.call_function("div", x, b), F.pmod(x, b)
-        for n in range(3):
-            high = F.pmod(high + F.pmod(F.xxhash64(F.lit(2 * n), *key, low), a), a)
-            low = F.pmod(low + F.pmod(F.xxhash64(F.lit(2 * n + 1), *key, high), b), b)
-        return high * b + low
+def with_permuted(df: DataFrame, index: Column, size: Column, key: list[Column], out: str) -> DataFrame:
+    """``df`` with ``out``, a keyed permutation of 0 to ``size`` - 1 at ``index``.
 
-    once = network(index)
-    again = F.aggregate(F.sequence(F.lit(0).cast("long"), a), once, lambda x, _: F.when(x < size, x).otherwise(network(x)))
-    return F.when(once < size, once).otherwise(again)
+    Indexes are pairs of digits, of bases a and b with a * b at least ``size``. Each round adds to one digit a hash of the
+    other, which can be undone, so the rounds permute the pairs; a value past the end is put in again until it is inside
+    (fewer than a values are outside, which bounds the loop). Each half round is a column of its own: an expression
+    that holds all of them would double with each.
+    """
+    a, b, high, low = (F.col(f"__{c}") for c in "abhl")
+    turn = lambda digit, other, base, n: F.pmod(digit + F.pmod(F.xxhash64(F.lit(n), *key, other), base), base)
+
+    def again(x: Column) -> Column:
+        pair = F.struct(F.call_function("div", x, b).alias("h"), F.pmod(x, b).alias("l"))
+        for n in range(6):
+            pair = bound(pair, _half(n))
+        return bound(pair, lambda p: p["h"] * b + p["l"])
+
+    def _half(n: int):
+        if n % 2 == 0:
+            return lambda p: F.struct(turn(p["h"], p["l"], a, n).alias("h"), p["l"].alias("l"))
+        return lambda p: F.struct(p["h"].alias("h"), turn(p["l"], p["h"], b, n).alias("l"))
+
+    root = F.ceil(F.sqrt(F.col("__size").cast("double"))).cast("long")
+    df = df.withColumns({"__size": size, "__index": index}).withColumn("__a", root)
+    df = df.withColumn("__a", F.when(a * a < F.col("__size"), a + 1).otherwise(a))
+    df = df.withColumn("__b", F.call_function("div", F.col("__size") + a - 1, a))
+    df = df.withColumns({"__h": F.call_function("div", F.col("__index"), b), "__l": F.pmod("__index", b)})
+    for n in range(6):
+        df = df.withColumn("__h", turn(high, low, a, n)) if n % 2 == 0 else df.withColumn("__l", turn(low, high, b, n))
+    df = df.withColumn("__x", high * b + low)
+    walked = F.aggregate(F.sequence(F.lit(0).cast("long"), a), F.col("__x"), lambda x, _: F.when(x < F.col("__size"), x).otherwise(again(x)))
+    df = df.withColumn(out, F.when(F.col("__x") < F.col("__size"), F.col("__x")).otherwise(walked))
+    return df.drop("__a", "__b", "__h", "__l", "__x", "__size", "__index")
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: float = REPEATS) -> DataFrame:
@@ -100,10 +117,9 @@ def drawn(plan: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) ->
     # A fixed number of partitions: rows that unfold to so many must not be put together for being few now.
     parts = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slots = chunks.repartition(parts, F.col("source"), F.col("chunk")).withColumn("rank", F.explode(inside))
-    place = permuted(F.col("first_slot") + F.col("rank"), F.col("all_slots"), F.lit(seed))
-    turn = F.floor(F.col("rank") / F.col("blocks")).cast("long")
-    block = permuted(F.pmod("rank", "blocks"), F.col("blocks"), F.lit(seed), F.coalesce("source", F.lit("\x00")), turn)
-    slots = slots.withColumn("place", place).withColumn("block", block)
+    slots = with_permuted(slots, F.col("first_slot") + F.col("rank"), F.col("all_slots"), [F.lit(seed)], "place")
+    slots = slots.withColumn("turn", F.call_function("div", F.col("rank"), F.col("blocks")))
+    slots = with_permuted(slots, F.pmod("rank", "blocks"), F.col("blocks"), [F.lit(seed), F.coalesce("source", F.lit("\x00")), F.col("turn")], "block")
     return slots.select(F.floor(F.col("place") / shard_slots).cast("long").alias("shard"), F.pmod("place", F.lit(shard_slots)).alias("position"), "source", "block")
 
 

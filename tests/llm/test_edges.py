@@ -126,7 +126,7 @@ def test_mix_materials_agree(spark):
 
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 257, 1000])
 def test_permutation(spark, n):
-    p = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit("key")).alias("p")).toPandas()["p"]
+    p = mixing.with_permuted(spark.range(n), F.col("id"), F.lit(n).cast("long"), [F.lit("key")], "p").toPandas()["p"]
     assert sorted(p) == list(range(n))
 
 
