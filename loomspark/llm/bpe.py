@@ -24,14 +24,14 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import table
+from loomspark.llm.common import table, worker_tables
 
 #: Most entries of a worker's table of pieces, of transitions and of checked pairs.
 MOST_PIECES, MOST_STATES, MOST_PAIRS = 400_000, 60_000, 500_000
@@ -339,9 +339,8 @@ SPACED = {r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 UNEVEN = re.compile(r" (?:\s|\Z)").search
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(path, pattern)
+    return worker_tables(("bpe", path, pattern), lambda: Encoder(path, pattern))
 
 
 def encode_text(text: str | None, path: str, pattern: str) -> list[int]:

@@ -52,6 +52,21 @@ def forget(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_HELD: dict = {}
+
+
+def worker_tables(name, make):
+    """What a Python worker keeps between tasks, made once: the tables of one operator at a time.
+
+    Spark uses workers again for later stages; asking for another operator's tables lets go of those held so far, so
+    that a worker never holds the sum of all.
+    """
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -15,14 +15,13 @@ near, the first language in order wins.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import table
+from loomspark.llm.common import table, worker_tables
 
 #: Features (a power of two), centroids per language, labelled rows per language that the centroids are clustered from.
 BITS, CENTROIDS, SAMPLE = 12, 4, 600
@@ -36,9 +35,12 @@ AT_ONCE = 400_000
 SPACE = 32
 
 
-@lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
     """By code point: the lower-case letter, or a space for what is no letter."""
+    return worker_tables("langid", _all_letters)
+
+
+def _all_letters() -> np.ndarray:
     found = np.full(0x110000, SPACE, np.uint32)
     for c in range(0x110000):
         x = chr(c)

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomspark.llm.common import bucketed, stored, table, text_of
+from loomspark.llm.common import bucketed, stored, table, text_of, worker_tables
 from loomspark.llm.components import components
 
 #: Words in a shingle, least similarity, registers, bands and registers in a band.
@@ -146,6 +146,7 @@ def banded(rows: DataFrame) -> DataFrame:
     """key, copies and bands (array) of each content that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _cached_shingles()
         for batch in batches:
             bands = [band_keys(signature(*shingles(t.as_py()))) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["key"], batch["copies"], pa.array(bands, pa.list_(pa.int64()))], ["key", "copies", "bands"])
@@ -153,9 +154,9 @@ def banded(rows: DataFrame) -> DataFrame:
     return rows.where("text <> ''").select("key", "copies", "text").mapInArrow(run, "key binary, copies long, bands array<long>")
 
 
-@lru_cache(maxsize=512)
-def _shingles_of(text: str) -> tuple[np.ndarray, np.ndarray]:
-    return shingles(text)
+def _cached_shingles():
+    """:func:`shingles` with the last texts' results kept: pairs come by pivot."""
+    return worker_tables("minhash", lambda: lru_cache(maxsize=512)(shingles))
 
 
 def stars(bands: DataFrame) -> DataFrame:
@@ -169,8 +170,9 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """``pairs`` (a, b) with ``linked``: whether their similarity is at least ``least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _cached_shingles()
         for batch in batches:
-            linked = [similarity(_shingles_of(x.as_py()), shingles(y.as_py())) >= least for x, y in zip(batch["text_a"], batch["text_b"])]
+            linked = [similarity(known(x.as_py()), shingles(y.as_py())) >= least for x, y in zip(batch["text_a"], batch["text_b"])]
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     left = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
@@ -230,6 +232,7 @@ def rest_links(tested: DataFrame, links: DataFrame, texts: DataFrame, least: flo
     members = rows.withColumn("j", F.pmod(where, blocks).cast("int")).select("family", cells("i", opens), "j", "key", "component", "text")
 
     def run(keys, opened: pa.Table, members: pa.Table) -> pa.Table:
+        _cached_shingles()
         found = links_between(opened, members, least)
         return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([x for _, x in found], pa.binary())})
 
