@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from loomspark.llm.common import prefix_sums, stored, table
 
-WORD = r"[^\x20\x09-\x0D]+"
+WORD, SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]*"
 #: Weights of the sources in order, repeating; share of all words that the mix has; most times a source is repeated.
 WEIGHTS, SHARE, REPEATS = (3, 1, 2), 1.5, 2
 #: Words in a block, slots in an output shard, slots that one row of the draw unfolds to.
@@ -156,13 +156,18 @@ def _same_block() -> Column:
     return F.col("source").eqNullSafe(F.col("__source")) & (F.col("block") == F.col("__block"))
 
 
+def _taken(rows: DataFrame, plan: DataFrame, block_words: int, seed: int) -> DataFrame:
+    """:func:`_segments` with ``times``, how often the mix takes their block (null for never)."""
+    times = _named(drawn(plan, seed=seed).groupBy("source", "block").agg(F.count("*").alias("times")))
+    # Slots grow with the input, and the planner takes what was unfolded for small: no broadcast.
+    return _segments(rows, block_words).join(times.hint("merge"), _same_block(), "left")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, seed: int = SEED, **weights) -> DataFrame:
     """One row per document: doc_id, source, size, tie, source_size, target, taken (words the mix takes of it)."""
     rows = stored(_streams(docs, id_col, text_col, source_col), "mix-streams")
     plan = planned(rows.groupBy("source").agg(F.sum("size").alias("source_size")), block_words, **weights)
-    times = _named(drawn(plan, seed=seed).groupBy("source", "block").agg(F.count("*").alias("times")))
-    # Slots grow with the input, and the planner takes what was unfolded for small: no broadcast.
-    took = _segments(rows, block_words).join(times.hint("merge"), _same_block(), "left")
+    took = _taken(rows, plan, block_words, seed)
     took = took.groupBy("doc_id", "source", "size", "tie", "start").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
     took = took.drop("start").unionByName(rows.where("size = 0").select("doc_id", "source", "size", "tie", F.lit(0).cast("long").alias("taken")))
     sources = plan.select(F.col("source").alias("__source"), "source_size", "target")
@@ -182,20 +187,38 @@ def mixed_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return drawn(plan, shard_slots, seed).join(_named(packed).hint("merge"), _same_block()).drop("__source", "__block")
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """``docs`` as the mix takes them, with their columns: a document comes once whole for each ``size`` words taken of it,
-    and the rest of the words taken come as a shortened text."""
-    took = mix(docs, id_col, text_col, source_col, **options).groupBy("doc_id", "tie", "size").agg(F.floor(F.sum("taken") / F.count("*")).cast("long").alias("taken"))
-    took = took.where("taken > 0").withColumnsRenamed({"doc_id": "__id", "tie": "__tie", "size": "__size", "taken": "__taken"})
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, seed: int = SEED, **weights) -> DataFrame:
+    """``docs`` as the mix takes them, with their columns: the n-th copy of a document has the words of those of its blocks
+    that are drawn n times or more, in their order and with the space after them; one that has all words is left as it is."""
+    rows = stored(_streams(docs, id_col, text_col, source_col), "mix-streams")
+    plan = planned(rows.groupBy("source").agg(F.sum("size").alias("source_size")), block_words, **weights)
+    piece = F.struct((F.col("begin") - F.col("start")).cast("int").alias("at"), F.col("words").cast("int").alias("words"), "times")
+    took = _taken(rows, plan, block_words, seed).where("times > 0").groupBy("doc_id", "source", "tie", "start", "size").agg(F.array_sort(F.collect_list(piece)).alias("__pieces"))
+    # Rows equal in id, source and text have places of their own in the stream, and are dealt to them by number.
+    same = Window.partitionBy("doc_id", "source", "tie").orderBy("start")
+    repeated = not rows.groupBy("doc_id", "source", "tie").count().where("count > 1").isEmpty()
+    if repeated:
+        numbers = rows.where("size > 0").select("doc_id", "source", "tie", "start", F.row_number().over(same).alias("__number"))
+        keys = ["doc_id", "source", "tie", "start"]
+        on = [F.col(c).eqNullSafe(F.col(f"__n_{c}")) for c in keys]
+        took = took.join(numbers.withColumnsRenamed({c: f"__n_{c}" for c in keys}), on).drop(*[f"__n_{c}" for c in keys])
+    else:
+        took = took.withColumn("__number", F.lit(1))
+    # A struct is never null, and structs are equal where their fields are, nulls included.
+    took = took.select(F.struct("doc_id", "source", "tie").alias("__own"), F.col("size").alias("__size"), "__pieces", F.col("__number").alias("__place"))
     text = F.col(text_col).cast("string")
-    marked = docs.withColumn("__hash", F.xxhash64(text))
-    joined = marked.join(took, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__tie")))
-    copies = F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")).cast("int"))
-    joined = joined.withColumn("__copy", F.explode(copies))
-    left = (F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")).cast("int")
-    words = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), left), " ")
-    cut = F.when(left < F.col("__size"), words).otherwise(text)
-    out = joined.withColumn(text_col, cut)
+    key = F.struct(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text).alias("tie"))
+    marked = docs.withColumn("__key", key)
+    others = [F.col(c).cast("string") for c in docs.columns if c != text_col]
+    number = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64(*others))) if repeated else F.lit(1)
+    joined = marked.withColumn("__number", number).join(took, (F.col("__key") == F.col("__own")) & (F.col("__number") == F.col("__place")))
+    most = F.array_max(F.transform("__pieces", lambda x: x["times"])).cast("int")
+    joined = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), most)))
+    joined = joined.withColumn("__pieces", F.filter("__pieces", lambda x: x["times"] >= F.col("__copy")))
+    words = F.regexp_extract_all(text, F.lit(WORD + SPACE), F.lit(0))
+    cut = bound(words, lambda w: F.array_join(F.flatten(F.transform("__pieces", lambda x: F.slice(w, x["at"] + 1, x["words"]))), ""))
+    left = F.aggregate("__pieces", F.lit(0).cast("long"), lambda n, x: n + x["words"])
+    out = joined.withColumn(text_col, F.when(left < F.col("__size"), F.regexp_replace(cut, SPACE + r"\z", "")).otherwise(text))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

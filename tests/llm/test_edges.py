@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -157,3 +158,25 @@ def test_rewrite_touches_affected_shards_only(spark, tmp_path):
     kept = spark.read.parquet(str(tmp_path / "old")).where(~F.col("shard").isin(touched))
     assert new.count() + kept.count() == 400 and touched == [0, 3]
     assert {r["shard"]: r["count"] for r in new.groupBy("shard").count().collect()} == {0: 100, 3: 100}
+
+
+def test_mixed_documents_have_the_words_of_the_drawn_blocks(spark):
+    """Every word is unique, so that the words of a source must be those of its blocks, each as often as it is drawn."""
+    rng = np.random.default_rng(2)
+    space = [" ", "\n", "  ", "\t"]
+    rows = [(i, " " + "".join(f"d{i}w{k}" + space[k % 4] for k in range(int(n))), "en", f"s{i % 3}") for i, n in enumerate(rng.integers(1, 700, 40))]
+    rows += [(None, "".join(f"n{k} " for k in range(300)), "en", None), (None, "".join(f"m{k} " for k in range(300)), "en", None)]
+    rows += [(7, "".join(f"r{k} " for k in range(400)), "en", s) for s in ("s0", "s0", "s1")]
+    d = frame(spark, rows)
+    count = lambda texts: Counter((s, w) for s, t in texts for w in t.split())
+    got = [(r["source"], r["text"]) for r in mixing.mixed_documents(d).collect()]
+    want = count((r["source"], r["text"]) for r in mixing.mixed_blocks(d).collect())
+    assert count(got) == want and len({t.split()[0] for _, t in got} - {t.split()[0] for _, t, *_ in rows}) > 3
+    # Texts keep their order, and the space between words that stood together.
+    source = {w: t for _, t, *_ in rows for w in t.split()}
+    for _, t in got:
+        own = source[t.split()[0]]
+        places = [own.split().index(w) for w in t.split()]
+        assert places == sorted(set(places)) and (t == own or t == t.strip())
+        kept = re.findall(r"\S+\s*", t)
+        assert all(own.split()[n] + own.split(own.split()[n], 1)[1][: len(x) - len(x.rstrip())] == x for n, x in zip(places, kept))
