@@ -241,7 +241,8 @@ def rest_links(tested: DataFrame, links: DataFrame, texts: DataFrame, least: flo
 
 
 def classes(rows: DataFrame, least: float = LEAST) -> DataFrame:
-    """key, class_id (smallest id of the class), class_size (rows of it), for the contents of :func:`contents`."""
+    """key, component (what tells the class), class_id (smallest id of the class), class_size (rows of it), for the contents
+    of :func:`contents`."""
     tested = stars(stored(banded(rows), "bands"))
     tested = stored(tested, "pairs")
     wanted = tested.select(F.explode(F.array("a", "b")).alias("key")).distinct()
@@ -253,7 +254,7 @@ def classes(rows: DataFrame, least: float = LEAST) -> DataFrame:
     labelled = rows.drop("text").join(labels, F.col("key") == F.col("node"), "left").withColumn("component", F.coalesce("component", "key")).drop("node")
     labelled = stored(labelled, "labelled")
     whole = labelled.groupBy("component").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    return labelled.join(whole, "component").select("key", "first_id", "class_id", "class_size")
+    return labelled.join(whole, "component").select("key", "first_id", "component", "class_id", "class_size")
 
 
 def near_duplicates(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -267,9 +268,9 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id
 def drop_near_duplicates(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row left of each class, that of the smallest id, with all their columns."""
     found = stored(classes(contents(docs, id_col, text_col), least), "classes")
-    first = found.where(F.col("first_id").eqNullSafe(F.col("class_id")))
-    # Contents that share their smallest id, as rows that repeat an id may: one of them stays.
-    first = first.groupBy("class_id", "class_size").agg(F.min("key").alias("__key"), F.first("first_id").alias("__id")).select("__key", "__id")
+    # Classes are told by their component: null ids and ids that repeat make class_id the same for several.
+    top = F.min(F.struct(F.col("first_id").isNull(), "first_id", "key")).alias("top")
+    first = found.groupBy("component").agg(top).select(F.col("top.key").alias("__key"), F.col("top.first_id").alias("__id"))
     mine = docs.withColumn("__content", key_of(content(text_of(text_col))))
     kept = mine.join(first, (F.col("__content") == F.col("__key")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_semi")
     if not docs.groupBy(id_col).count().where("count > 1").isEmpty():

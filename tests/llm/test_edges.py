@@ -160,6 +160,15 @@ def test_rewrite_touches_affected_shards_only(spark, tmp_path):
     assert {r["shard"]: r["count"] for r in new.groupBy("shard").count().collect()} == {0: 100, 3: 100}
 
 
+def test_near_keeps_different_texts_of_null_or_equal_ids(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(20)) for c in "abcdefg"]
+    ids = [None, None, None, 5, 5, 5, 8]
+    rows = [(i, t, "en", "s") for i, t in zip(ids, texts)] + [(None, texts[1], "en", "s"), (9, texts[2], "en", "s"), (None, texts[6], "en", "s")]
+    found = minhash.drop_near_duplicates(frame(spark, rows)).select("doc_id", "text").collect()
+    want = [(None, 0), (None, 1), (9, 2), (5, 3), (5, 4), (5, 5), (8, 6)]
+    assert sorted((str(r["doc_id"]), r["text"]) for r in found) == sorted((str(i), texts[n]) for i, n in want)
+
+
 def test_mixed_documents_have_the_words_of_the_drawn_blocks(spark):
     """Every word is unique, so that the words of a source must be those of its blocks, each as often as it is drawn."""
     rng = np.random.default_rng(2)
