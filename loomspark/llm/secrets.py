@@ -15,7 +15,8 @@ bucket after, the first) and grows with the number of parts, not of pairs.
 Cases: a null or empty text has no spans; texts are read whole, and places count code points; rows that repeat id and
 text have the same spans; a null id is a key like any other; an empty table gives an empty result; the output has only
 the id and the columns named here, so others cannot clash. A weak part that overlaps a base span, or a weak part of a
-kind listed earlier, is not a candidate.
+kind listed earlier, is not a candidate; but a weak secret that stands after ``=``, as in a query string, leaves the
+endpoint that it is in one.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ LONG = {"assign": BASE["assign"], "access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a
 #: Weak parts by kind.
 WEAK = {
     "client": r"""(?i)(user(?:name)?|login|account|client_?id|key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]{3,}""",
-    "blob": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}={0,2}",
+    "blob": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}={0,2}",
     "endpoint": r"(?i)\b[a-z][a-z0-9+]{1,15}://[A-Za-z0-9._~:@%/?#=&+-]{4,}",
 }
 KINDS = [*BASE, *WEAK]
@@ -96,12 +97,12 @@ def _apart(weak: Column, others: Column) -> Column:
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, key (of the text, which alone decides the spans), base and weak spans of every row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    rows = rows.select("doc_id", F.md5("text").alias("key"), F.concat(*[spans(F.col("text"), k) for k in BASE]).alias("base"), *[spans(F.col("text"), k).alias(k) for k in WEAK])
+    rows = rows.select("doc_id", "text", F.md5("text").alias("key"), F.concat(*[spans(F.col("text"), k) for k in BASE]).alias("base"), *[spans(F.col("text"), k).alias(k) for k in WEAK])
     others = F.col("base")
     parts = []
     for kind in WEAK:
         parts.append(_apart(F.col(kind), others))
-        others = F.concat(others, F.col(kind))
+        others = F.concat(others, F.filter(kind, lambda s: F.substr("text", s["start"], F.lit(1)) != "=") if kind == "blob" else F.col(kind))
     return rows.select("doc_id", "key", "base", F.concat(*parts).alias("weak"))
 
 
