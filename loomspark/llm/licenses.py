@@ -1,8 +1,9 @@
 """License scans by conditional compression.
 
 Blocks of text around words that license notices use are compressed twice with zstandard: alone, and with each template
-as a raw dictionary. The size that a template saves ranks the templates; the best are confirmed by exact wording: the
-words of template and block are aligned, the template's naming words must all be there, and few others may be missing.
+as a raw dictionary. The size that a template saves ranks the templates; exact wording alone decides, for a short notice
+saves little of the prose around it: the words of template and block are aligned, the template's naming words must all be
+there, and few others may be missing. Templates whose naming words a block lacks need no compression.
 A confirmed stretch is taken out and the rest of its block is looked at again, so a block may hold several notices.
 
 Blocks are paragraphs; of a long one, the stretches around such words. So the work for a text grows with its length.
@@ -15,6 +16,7 @@ has only the id and the columns named here, so others cannot clash.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -70,9 +72,9 @@ TEMPLATES: dict[str, tuple[str, str]] = {
 #: Words around which a block is looked at, and which each notice has at least one of.
 TRIGGER = re.compile(r"licen[sc]|permission|redistribut|released under|unencumbered|public domain", re.I)
 WORD = re.compile(r"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*")
-#: Characters before and after a trigger that a block of a long paragraph has; least saving, and templates tried; share
-#: of a template's words that must be there; words that may stand between them, as a share of the template's.
-BEFORE, AFTER, SAVING, TRIED, SHARE, LOOSE = 250, 500, 0.15, 5, 0.8, 1.0
+#: Characters before and after a trigger that a block of a long paragraph has; share of a template's words that must be
+#: there; words that may stand between them, as a share of the template's.
+BEFORE, AFTER, SHARE, LOOSE = 250, 500, 0.8, 1.0
 FINDINGS = "license string, template string, start int, end int, saving double, missing string, extra int"
 
 
@@ -108,12 +110,15 @@ def blocks(text: str) -> Iterator[tuple[int, int]]:
         yield begin, end
 
 
-def ranked(block: str) -> list[tuple[float, int]]:
-    """Templates by the share of a block's compressed size that they save, most first."""
+def ranked(block: str, have: set[str]) -> list[tuple[float, int]]:
+    """Templates whose naming words the block has, by the share of its compressed size that they save, most first."""
     alone, own = _compressors()
+    named = [(i, c) for i, (_, c, _, naming) in enumerate(own) if naming <= have]
+    if not named:
+        return []
     raw = block.encode()
     size = len(alone.compress(raw))
-    found = [((size - len(c.compress(raw))) / size, -i) for i, (_, c, _, _) in enumerate(own)]
+    found = [((size - len(c.compress(raw))) / size, -i) for i, c in named]
     return [(saving, -i) for saving, i in sorted(found, reverse=True)]
 
 
@@ -148,14 +153,12 @@ def findings(text: str | None) -> list[tuple[str, str, int, int, float, str, int
             if not TRIGGER.search(block):
                 continue
             words = _words(block)
-            # A stretch of a block saves less than a block that is a notice and nothing else, so long ones are cut.
             best = None
+            starts, ends = [w[1] for w in words], [w[2] for w in words]
             for a, b in _windows(block, words):
-                for saving, i in ranked(block[a:b])[:TRIED]:
-                    if saving < SAVING:
-                        break
+                inside = words[bisect_left(starts, a) : bisect_right(ends, b)]
+                for saving, i in ranked(block[a:b], {w for w, _, _ in inside}):
                     name, _, template, naming = own[i]
-                    inside = [w for w in words if a <= w[1] and w[2] <= b]
                     place = worded(inside, template, naming)
                     if place and (best is None or (len(template), saving) > best[:2]):
                         first, last, missing, extra = place
@@ -170,11 +173,11 @@ def findings(text: str | None) -> list[tuple[str, str, int, int, float, str, int
 
 
 def _windows(block: str, words: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
-    """The lines with triggers, then the block as a whole."""
+    """The lines with triggers, of long ones the stretches around these, then the block as a whole."""
     seen = set()
     for m in TRIGGER.finditer(block):
         a, b = block.rfind("\n", 0, m.start()) + 1, block.find("\n", m.end())
-        b = len(block) if b < 0 else b
+        a, b = max(a, m.start() - BEFORE), min(len(block) if b < 0 else b, m.end() + AFTER)
         near = max(a, m.start() - 80), min(b, m.end() + 120)
         for span in ((a, b), near):
             if span not in seen and span[1] > span[0]:

@@ -227,3 +227,13 @@ def test_secrets_right_after_an_equals_sign(spark):
     for r in found:
         got = [(secrets.KINDS[s["kind"]], texts[r["doc_id"]][s["start"] : s["end"]]) for s in r["found"]]
         assert ("blob", value) in got and (r["doc_id"] != 7 or {"client", "endpoint"} < {k for k, _ in got})
+
+
+def test_short_notices_inside_prose():
+    rng = np.random.default_rng(11)
+    prose = "while many members spoke about roads bridges water quality budget plans next year several questions remained open after lunch when guests arrived from nearby towns bringing cheerful news".split()
+    for name, (notice, _) in licenses.TEMPLATES.items():
+        for _ in range(5):
+            before, after = (" ".join(rng.choice(prose, 70)) for _ in range(2))
+            found = licenses.findings(f"{before}. {notice} {after}.")
+            assert [f[1] for f in found] == [name] and found[0][2] == len(before) + 2
