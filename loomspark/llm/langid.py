@@ -3,8 +3,9 @@
 A text's letters are lowered, all else counts as a word border; n-grams of one to three characters are hashed into a
 fixed number of features. Document frequencies are counted over all training rows. The centroids are clustered (k-means
 on the sphere, per language) from a sample of bounded size. A text is put into the language of the nearest centroid,
-and rejected if it lies farther from it than texts of its length do: ``REACH`` times the least cosine that a training
-text of about that length or shorter had to its own language.
+and rejected if it lies farther from it than texts of its length do: the bound of a language and size lies ``REACH`` of the
+way from what nearly all texts of other languages stay under to what nearly all texts of the language itself reach. So
+a few odd texts or wrong labels move no bound, and the shortest texts none but their own.
 
 Cases: a null text, an empty one and one without a letter give ``und`` with score 0 and are rejected; texts of any
 length are read whole; if no row is labelled, every text is ``und``; equal texts get equal results; an empty table gives
@@ -27,6 +28,8 @@ from loomspark.llm.common import table, worker_tables
 BITS, CENTROIDS, SAMPLE = 12, 4, 600
 FEATURES = 1 << BITS
 REACH = 0.5
+#: Share of texts that a bound leaves out; size classes; sampled rows of a language that a bound needs, or takes shorter ones to.
+LOW, SIZES, ENOUGH = 0.02, 24, 20
 #: Share of a language's sample that a centroid needs.
 LEAST_SHARE = 0.04
 UNKNOWN = "und"
@@ -113,11 +116,34 @@ def clustered(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centers[members >= max(1, LEAST_SHARE * len(vectors))]
 
 
+def bounds(sizes: np.ndarray, own: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+    """The least cosine accepted by language and size, from rows' sizes, languages and greatest cosines to each language.
+
+    A size with too few rows of a language takes in its rows of the next shorter sizes; a language without rows as short as
+    a size has the lowest bound of the others; what no language has, is accepted.
+    """
+    found = np.full((cosine.shape[1], SIZES), np.inf)
+    for j in range(cosine.shape[1]):
+        mine, shortest = sizes[own == j], sizes[own == j].min(initial=SIZES)
+        for size in range(shortest, SIZES):
+            low = size
+            while low > shortest and ((mine >= low) & (mine <= size)).sum() < ENOUGH:
+                low -= 1
+            inside = (sizes >= low) & (sizes <= size)
+            good, others = cosine[inside & (own == j), j], cosine[inside & (own != j), j]
+            reached, stayed = np.quantile(good, LOW), np.quantile(others, 1 - LOW) if len(others) else 0.0
+            found[j, size] = stayed + REACH * (reached - stayed) if stayed < reached else reached
+    if len(found):
+        found = np.where(np.isinf(found), found.min(axis=0), found)
+    return np.where(np.isinf(found), 0, found)
+
+
 class Model:
-    """Centroids, their languages, and the least cosine accepted by size of the text."""
+    """Centroids, their languages, and the least cosine accepted by language (in order of its centroids) and size."""
 
     def __init__(self, idf: np.ndarray, centers: np.ndarray, langs: list[str], least: np.ndarray):
         self.idf, self.centers, self.langs, self.least = idf, centers, langs, least
+        self.row = np.array([sorted(set(langs)).index(x) for x in langs], int)
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[bool]]:
         langs, scores, rejected = [], [], []
@@ -126,11 +152,12 @@ class Model:
             some = found.any(axis=1)
             if not self.langs:
                 some[:] = False
-                near, score = np.zeros(len(part), int), np.zeros(len(part))
+                near, score, least = np.zeros(len(part), int), np.zeros(len(part)), 0
             else:
                 cosine = weighted(found, self.idf) @ self.centers.T
                 near, score = cosine.argmax(axis=1), np.clip(cosine.max(axis=1), 0, 1)
-            far = score < self.least[np.minimum(size_class(found), len(self.least) - 1)]
+                least = self.least[self.row[near], np.minimum(size_class(found), SIZES - 1)]
+            far = score < least
             langs += [self.langs[n] if s else UNKNOWN for n, s in zip(near, some)]
             scores += [float(x) if s else 0.0 for x, s in zip(score, some)]
             rejected += [bool(f or not s) for f, s in zip(far, some)]
@@ -168,28 +195,34 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
     # A sample by hash: of each language about ``sample`` rows, however many there are.
     totals = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not totals:
-        return Model(idf, np.zeros((0, FEATURES), np.float32), [], np.zeros(1))
+        return Model(idf, np.zeros((0, FEATURES), np.float32), [], np.zeros((0, SIZES)))
     share = F.element_at(F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, min(1.0, sample / n))]), F.col("lang"))
     draw = F.pmod(F.xxhash64(F.lit(1), "doc_id", "text"), F.lit(1_000_000)) / 1e6
     picked = labelled.where(draw < share).select("lang", "text").mapInArrow(vectors, "lang string, size long, v binary").toPandas()
-    langs, centers, least = [], [], np.full(24, np.inf)
+    langs, centers, sampled = [], [], []
     for lang in sorted(totals):
         own = picked[picked["lang"] == lang]
         if not len(own):
             continue
-        m = np.array([np.frombuffer(x, np.float16) for x in own["v"]]).astype(np.float32)
-        own_size = own["size"].to_numpy()[m.any(axis=1)]
+        m = _rows(own["v"])
+        own = own[m.any(axis=1)]
         m = m[m.any(axis=1)]
         if not len(m):
             continue
         c = clustered(m, centroids)
         centers.append(c)
         langs += [lang] * len(c)
-        np.minimum.at(least, np.minimum(own_size, 23), (m @ c.T).max(axis=1))
-    # What a size lacks, or has higher, it takes from the shorter ones; what the shortest lack, is accepted.
-    least = np.minimum.accumulate(np.where(np.isinf(least), np.inf, least))
-    least = np.where(np.isinf(least), 0, least) * REACH
-    return Model(idf, np.concatenate(centers).astype(np.float32) if centers else np.zeros((0, FEATURES), np.float32), langs, least)
+        sampled.append(own)
+    if not centers:
+        return Model(idf, np.zeros((0, FEATURES), np.float32), [], np.zeros((0, SIZES)))
+    cosine = np.concatenate([np.stack([(m @ c.T).max(axis=1) for c in centers], axis=1) for m in (_rows(x["v"]) for x in sampled)])
+    sizes = np.minimum(np.concatenate([x["size"].to_numpy() for x in sampled]), SIZES - 1)
+    least = bounds(sizes, np.repeat(np.arange(len(sampled)), [len(x) for x in sampled]), cosine)
+    return Model(idf, np.concatenate(centers).astype(np.float32), langs, least)
+
+
+def _rows(packed) -> np.ndarray:
+    return np.array([np.frombuffer(x, np.float16) for x in packed]).astype(np.float32)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

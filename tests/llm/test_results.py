@@ -237,3 +237,23 @@ def test_short_notices_inside_prose():
             before, after = (" ".join(rng.choice(prose, 70)) for _ in range(2))
             found = licenses.findings(f"{before}. {notice} {after}.")
             assert [f[1] for f in found] == [name] and found[0][2] == len(before) + 2
+
+
+def test_language_rejects_an_unlearned_one_of_the_same_script(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang <> 'de' and n_chars > 300")
+    model = langid.fit(langid.training(rows))
+    others = ["Solen skinner over byen, og børnene løber ned til stranden for at bade i det kolde vand. " * 9, "De zon schijnt over de stad en de kinderen lopen naar het strand om te zwemmen in het koude water. " * 9]
+    german = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'de' and n_chars > 300").collect()]
+    own = [r["text"] for r in rows.where(langid.held_out()).collect()]
+    assert model.predict(others)[2] == [True, True]
+    assert np.mean(model.predict(german)[2]) > 0.95 and np.mean(model.predict(own)[2]) < 0.03
+
+
+def test_one_short_text_lowers_no_bound_of_long_ones():
+    rng = np.random.default_rng(0)
+    sizes, own = np.repeat([1, 9, 9], [1, 200, 200]), np.repeat([0, 0, 1], [1, 200, 200])
+    cosine = np.where(own[:, None] == np.arange(2), 0.8, 0.2) + rng.normal(0, 0.02, (401, 2))
+    cosine[0] = 0.05, 0.04
+    cosine[5] = 0.2, 0.8  # a wrong label
+    found = langid.bounds(sizes, own, cosine)
+    assert (found[:, 9:] > 0.45).all() and (found[:, 9:] < 0.6).all() and (found[:, 1:9] < 0.06).all() and (found[:, 0] == 0).all()
