@@ -16,7 +16,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from ``spark.checkpoint.dir`` of the session."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        spark.conf.set("spark.checkpoint.dir", OWN_FOLDER)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = OWN_FOLDER
     return f"{found.rstrip('/')}/{spark.sparkContext.applicationId}"
 
@@ -102,6 +103,27 @@ def prefix_sums(rows: DataFrame, group: list[str], order: list[str], amount: str
     )
 
 
+#: Keys that a join spreads, at most; rows of a key from which it may be spread; tasks that it is spread over.
+HOT_KEYS, HOT_ROWS, SALTS = 1024, 1000, 64
+
+
+def spread_join(rows: DataFrame, once: DataFrame, key: str, by: list[str], how: str = "inner", sizes: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined to ``once``, which has one row for each ``key``, without a task that holds a hot key.
+
+    The ``HOT_KEYS`` keys with most rows are dealt over ``SALTS`` tasks by a hash of the columns ``by``; any other key has less
+    than one in ``HOT_KEYS`` of all rows. Only the list of these keys is broadcast, which has at most ``HOT_KEYS`` rows. ``sizes``
+    (key, n) saves counting. ``rows`` are read twice without it; give a stored table.
+    """
+    sizes = rows.groupBy(key).agg(F.count("*").alias("n")) if sizes is None else sizes
+    hot = sizes.where(F.col("n") >= HOT_ROWS).orderBy(F.col("n").desc(), key).limit(HOT_KEYS)
+    hot = F.broadcast(stored(hot.select(F.col(key).alias("__key"), F.lit(True).alias("__hot")).where("__key is not null"), "hot-keys"))
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(0)
+    salts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = rows.join(hot, F.col(key) == F.col("__key"), "left").withColumn("__salt", salt).drop("__key", "__hot")
+    copied = once.join(hot, F.col(key) == F.col("__key"), "left").withColumn("__salt", F.explode(salts)).drop("__key", "__hot")
+    return dealt.join(copied, [key, "__salt"], how).drop("__salt")
+
+
 def exploded_range(df: DataFrame, size: Column | int, out: str, at_once: int = 65_536) -> DataFrame:
     """``df`` with a row for each ``out`` from 0 to ``size`` - 1, in two steps, so that no row holds a long array."""
     size = F.lit(size).cast("long") if isinstance(size, int) else size

@@ -36,7 +36,7 @@ def none(spark):
 
 
 OPERATORS = {
-    "langid": lambda d: langid.predict(d, langid.fit(langid.training(d))), "bpe": lambda d: bpe.round_trips(d, *bpe.vocabulary()), "licenses": licenses.scan, "pii": pii.replaced,
+    "langid": lambda d: langid.predict(d, langid.fit(langid.training(d))), "bpe": lambda d: bpe.round_trips(d, *bpe.vocabulary()), "licenses": licenses.scan, "pii": lambda d: pii.replaced(d, "k"),
     "reshard": resharding.assignment, "exact": exact_dedup.exact_groups, "secrets": secrets.scan, "mix": mixing.mix, "near": minhash.near_duplicates,
 }
 
