@@ -1,12 +1,18 @@
 """Mixing sources to target weights: packed blocks of words, drawn per output shard, joined by index.
 
-Each source's documents, in a fixed order, are one stream of words, cut into blocks of a fixed length. The mix is a
-sequence of slots, dealt to output shards of equally many; each slot takes one block. Which source a slot draws from is
-multinomial with the targets as probabilities, under the condition that the sums over all shards are the sources'
-numbers of slots; that law is the one of a random permutation of all slots, so that is how it is drawn, without a draw
-of one shard waiting for another's. A source's slots run through a pseudorandom permutation of its block indexes, then
-through another: no block is taken twice before each is taken once. Permutations are keyed Feistel networks of the
-index, so they are computed, not stored, and reruns agree.
+Each source's documents, in a fixed order, are one stream of words, cut into blocks of a fixed length. The mix has slots,
+equally many in each output shard; each slot takes one block.
+
+1. How many slots of a shard draw from each source is multinomial with the targets as probabilities, under the condition
+   that the sums over all shards are the sources' numbers of slots (independent draws would miss the targets by several
+   per cent on small inputs). That law is the one of a random permutation of all slots, so :func:`shard_counts` puts
+   every slot to its permuted place and counts, without a draw of one shard waiting for another's. The counts, with the
+   first index of each, are a stored table: shard, source, count, first.
+2. From that table alone, :func:`drawn` makes the slots: a source's indexes run through a pseudorandom permutation of its
+   blocks, then through another, so no block is taken twice before each is taken once.
+3. Blocks are joined by (source, index).
+
+Permutations are keyed Feistel networks of the index, so they are computed, not stored, and reruns agree.
 
 All is DataFrame work. Offsets of documents in their streams are prefix sums in two levels (a source may hold a third
 of all rows); blocks are joined by (source, index), which no source makes hot.
@@ -109,18 +115,35 @@ def planned(sizes: DataFrame, block_words: int = BLOCK_WORDS, **mix) -> DataFram
     )
 
 
-def drawn(plan: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
-    """Every slot of the mix: shard, position, source, block."""
+def shard_counts(plan: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+    """The draw: for each output shard and source, ``count`` slots, and ``first``, the source's indexes that earlier shards take."""
     chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(UNFOLD).cast("long"))).alias("chunk")
-    chunks = plan.where("slots > 0").select("source", "blocks", "slots", "first_slot", "all_slots", chunk)
+    chunks = plan.where("slots > 0").select("source", "slots", "first_slot", "all_slots", chunk)
     inside = F.sequence(F.col("chunk"), F.least(F.col("chunk") + UNFOLD, F.col("slots")) - 1)
     # A fixed number of partitions: rows that unfold to so many must not be put together for being few now.
     parts = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slots = chunks.repartition(parts, F.col("source"), F.col("chunk")).withColumn("rank", F.explode(inside))
     slots = with_permuted(slots, F.col("first_slot") + F.col("rank"), F.col("all_slots"), [F.lit(seed)], "place")
-    slots = slots.withColumn("turn", F.call_function("div", F.col("rank"), F.col("blocks")))
-    slots = with_permuted(slots, F.pmod("rank", "blocks"), F.col("blocks"), [F.lit(seed), F.coalesce("source", F.lit("\x00")), F.col("turn")], "block")
-    return slots.select(F.floor(F.col("place") / shard_slots).cast("long").alias("shard"), F.pmod("place", F.lit(shard_slots)).alias("position"), "source", "block")
+    counts = slots.groupBy(F.call_function("div", F.col("place"), F.lit(shard_slots)).alias("shard"), "source").agg(F.count("*").alias("count"))
+    counts = stored(counts, "mix-counts")
+    return stored(prefix_sums(counts, ["source"], ["shard"], "count", F.call_function("div", F.col("shard"), F.lit(UNFOLD)), "first"), "mix-draw")
+
+
+def drawn(plan: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+    """Every slot of the mix: shard, position, source, block."""
+    counts = shard_counts(plan, shard_slots, seed)
+    # At most as many rows in a shard as there are sources.
+    before = Window.partitionBy("shard").orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumns({"__at": F.coalesce(F.sum("count").over(before), F.lit(0)), "__slots": F.sum("count").over(Window.partitionBy("shard"))})
+    sources = plan.select(F.col("source").alias("__source"), "blocks")
+    counts = counts.join(sources, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    parts = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = counts.repartition(parts, F.col("shard"), F.col("source")).withColumn("rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
+    slots = slots.withColumns({"index": F.col("first") + F.col("rank"), "__at": F.col("__at") + F.col("rank")})
+    slots = slots.withColumn("turn", F.call_function("div", F.col("index"), F.col("blocks")))
+    slots = with_permuted(slots, F.pmod("index", "blocks"), F.col("blocks"), [F.lit(seed), F.coalesce("source", F.lit("\x00")), F.col("turn")], "block")
+    slots = with_permuted(slots, F.col("__at"), F.col("__slots"), [F.lit(seed + 1), F.col("shard")], "position")
+    return slots.select("shard", "position", "source", "block")
 
 
 def _streams(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -150,8 +173,6 @@ def _named(frame: DataFrame) -> DataFrame:
     return frame.withColumnsRenamed({"source": "__source", "block": "__block"})
 
 
-
-
 def _same_block() -> Column:
     return F.col("source").eqNullSafe(F.col("__source")) & (F.col("block") == F.col("__block"))
 
