@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from loomspark.llm.common import table, worker_tables
 
-#: Features (a power of two), centroids per language, labelled rows per language that the centroids are clustered from.
+#: Features (a power of two), centroids per language, different labelled texts per language that the centroids are clustered from.
 BITS, CENTROIDS, SAMPLE = 12, 4, 600
 FEATURES = 1 << BITS
 REACH = 0.5
@@ -165,7 +165,7 @@ class Model:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
-    """A model from ``labelled`` (doc_id, text, lang), of which only rows with text and language count."""
+    """A model from ``labelled`` (text, lang), of which only rows with text and language count. Languages are taken to be few."""
     labelled = labelled.where("text is not null and lang is not null")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,13 +192,14 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
                     [pa.array(langs[start : start + len(part)]), pa.array(size_class(found)), pa.array([x.tobytes() for x in v], pa.binary())], ["lang", "size", "v"]
                 )
 
-    # A sample by hash: of each language about ``sample`` rows, however many there are.
-    totals = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    # A sample by a hash of the text alone: of each language about ``sample`` different texts, however many there are.
+    draw = F.xxhash64(F.lit(1), "text")
+    totals = {r["lang"]: max(1, r["n"]) for r in labelled.groupBy("lang").agg(F.approx_count_distinct(draw, 0.02).alias("n")).collect()}
     if not totals:
         return Model(idf, np.zeros((0, FEATURES), np.float32), [], np.zeros((0, SIZES)))
     share = F.element_at(F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, min(1.0, sample / n))]), F.col("lang"))
-    draw = F.pmod(F.xxhash64(F.lit(1), "doc_id", "text"), F.lit(1_000_000)) / 1e6
-    picked = labelled.where(draw < share).select("lang", "text").mapInArrow(vectors, "lang string, size long, v binary").toPandas()
+    picked = labelled.withColumn("draw", draw).where(F.pmod("draw", F.lit(1_000_000)) / 1e6 < share).dropDuplicates(["lang", "draw"])
+    picked = picked.select("lang", "text").mapInArrow(vectors, "lang string, size long, v binary").toPandas()
     langs, centers, sampled = [], [], []
     for lang in sorted(totals):
         own = picked[picked["lang"] == lang]
@@ -244,7 +245,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def training(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     kept = docs.where(~held_out(id_col))
-    return kept.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    return kept.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
 
 
 def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
