@@ -8,8 +8,9 @@ for that query. Where it is high, coordinates prune: the angle between candidate
 largest coordinates the candidate must lie in narrow ranges. Where it is low, only length prunes. Survivors are
 verified with exact integer products, and each query's best over all chunks are ranked.
 
-Queries come in blocks and meet every chunk, one (block, chunk) pair a group, so that the memory of a task does not
-depend on the input. Products are exact: in doubles as long as no sum can pass 2**53, else in Python's integers.
+Queries come in blocks and meet chunks, one (block, chunk) pair a group, so that the memory of a task does not depend on
+the input. Bands lie in order of length, so the bands that a query can reach are a first few; queries that reach as many
+share blocks. Neither queries nor candidates are sent to a pair whose bound rules it out. Products are exact: in doubles as long as no sum can pass 2**53, else in Python's integers.
 
 Cases: a vector that is null or holds a null or a non-finite component, or whose id is null, takes no part; shorter
 vectors count as filled up with zeros; rows that repeat id and vector count once; if an id has several vectors, the
@@ -138,31 +139,49 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     cuts = sorted(set(facts["cuts"] or []), reverse=True)
     band = F.size(F.filter(F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>"), lambda x: x >= F.col("length")))
     rows = rows.withColumn("band", band)
-    parts, first = {}, 0
-    for r in sorted(rows.groupBy("band").count().collect(), key=lambda r: r["band"]):  # at most BANDS rows
-        parts[r["band"]] = (first, -(-r["count"] // CHUNK))
-        first += parts[r["band"]][1]
-    chunks = first
+    parts, longest, chunks = {}, {}, 0
+    for r in sorted(rows.groupBy("band").agg(F.count("*").alias("n"), F.max("length").alias("longest")).collect(), key=lambda r: r["band"]):  # at most BANDS rows
+        parts[r["band"]] = (chunks, -(-r["n"] // CHUNK))
+        longest[r["band"]] = r["longest"]
+        chunks += parts[r["band"]][1]
     if not chunks:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.col("vec_id").alias("score"))
-    pair = lambda i: F.element_at(F.create_map(*[F.lit(x) for b, p in parts.items() for x in (b, p[i])]), F.col("band"))
+    known = lambda found, of: F.element_at(F.create_map(*[F.lit(x) for pair in found.items() for x in pair]), F.col(of))
     filled = F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size("v")))
-    chunk = (pair(0) + F.pmod(F.xxhash64("vec_id", "v"), pair(1))).cast("long")
-    candidates = rows.select("vec_id", filled.alias("v"), chunk.alias("chunk"))
-    asking = stored(rows.where("asks").groupBy("vec_id").agg(F.min("v").alias("v")).select(F.col("vec_id").alias("query_id"), filled.alias("v")), "topk-queries")
-    blocks = max(1, -(-asking.count() // QUERY_BLOCK))
-    asking = asking.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    chunk = known({b: p[0] for b, p in parts.items()}, "band") + F.pmod(F.xxhash64("vec_id", "v"), known({b: p[1] for b, p in parts.items()}, "band"))
+    candidates = rows.select("vec_id", filled.alias("v"), "band", chunk.cast("long").alias("chunk"))
+    asking = rows.where("asks").groupBy("vec_id").agg(F.min_by("length", "v").alias("length"), F.min("v").alias("v"))
+    asking = stored(asking.select(F.col("vec_id").alias("query_id"), "length", filled.alias("v")), "topk-queries")
 
     def best(keys, queries: pa.Table, found: pa.Table) -> pa.Table:
         return best_of_chunk(queries, found, k, width)
 
     def meet(queries: DataFrame, found: DataFrame) -> DataFrame:
-        return queries.groupBy("block", "chunk").cogroup(exploded_range(found, blocks, "block").groupBy("block", "chunk")).applyInArrow(best, FOUND)
+        queries = queries.select("query_id", "v", "theta", "block", "chunk")
+        found = found.select("vec_id", "v", "block", "chunk")
+        return queries.groupBy("block", "chunk").cogroup(found.groupBy("block", "chunk")).applyInArrow(best, FOUND)
 
-    seeds = asking.withColumn("theta", F.lit(None).cast("long")).withColumn("chunk", F.lit(0).cast("long"))
-    theta = meet(seeds, candidates.where("chunk = 0")).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("theta"))
-    asking = asking.join(theta, "query_id", "left")
-    return _ranked(meet(exploded_range(asking, chunks, "chunk"), candidates), k).select("query_id", "rank", "vec_id", "score")
+    blocks = max(1, -(-asking.count() // QUERY_BLOCK))
+    seeds = asking.withColumns({"block": F.pmod(F.xxhash64("query_id"), F.lit(blocks)), "theta": F.lit(None).cast("long"), "chunk": F.lit(0).cast("long")})
+    theta = meet(seeds, exploded_range(candidates.where("chunk = 0"), blocks, "block")).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("theta"))
+    # Bands that a query reaches: their longest vector may get to its threshold.
+    reaches = F.array(*[F.lit(longest[b]) for b in sorted(longest)])
+    reached = F.size(F.filter(reaches, lambda x: F.col("theta").isNull() | (F.col("length") * x * (1 + 1e-9) + 1e-9 >= F.col("theta"))))
+    asking = stored(asking.join(theta, "query_id", "left").withColumn("reached", F.greatest(reached, F.lit(1))), "topk-asking")
+    number = {r["reached"]: r["count"] for r in asking.groupBy("reached").count().collect()}  # at most BANDS rows
+    bands, starts, upto, after = sorted(parts), {}, {}, 0
+    # Blocks are numbered from the queries that reach most, so those that need a band are a first few, too.
+    for r in sorted(number, reverse=True):
+        starts[r] = (after, -(-number[r] // QUERY_BLOCK))
+        after += starts[r][1]
+        upto[r] = sum(parts[bands[-1]]) if r >= len(bands) else parts[bands[r]][0]
+    needed = {b: sum(n for r, (_, n) in starts.items() if r > at) for at, b in enumerate(bands)}
+    if not starts:
+        return _ranked(meet(seeds, exploded_range(candidates.where("chunk = 0"), 1, "block")), k).select("query_id", "rank", "vec_id", "score")
+    block = known({r: s[0] for r, s in starts.items()}, "reached") + F.pmod(F.xxhash64("query_id"), known({r: s[1] for r, s in starts.items()}, "reached"))
+    asking = exploded_range(asking.withColumn("block", block.cast("long")), known(upto, "reached").cast("long"), "chunk")
+    candidates = exploded_range(candidates, known(needed, "band").cast("long"), "block")
+    return _ranked(meet(asking, candidates), k).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
