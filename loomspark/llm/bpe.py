@@ -14,8 +14,8 @@ to the text it completes and the state after. Malformed bytes become U+FFFD, so
 
 Cases: a null text is encoded as empty and gives no ids; a text of any length is encoded whole, piece by piece; rows
 that repeat are encoded each; an empty table gives an empty result; the output holds the id column and its own columns,
-so other columns cannot clash. Kept transitions and pieces are bounded in number: when a table is full it is begun
-anew, which costs time and changes no result.
+so other columns cannot clash. Kept transitions and pieces are bounded in number: a full table of pieces is begun anew,
+transitions that a full table lacks are worked out for the piece at hand. That costs time and changes no result.
 """
 
 from __future__ import annotations
@@ -379,11 +379,14 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids") ->
     return encoded.withColumn("decoded", text_of_ids(ids_col))
 
 
-def round_trips(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: every text encoded, and its ids decoded again."""
+def round_trips(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: every text encoded, and its ids decoded again.
+
+    Without a path, each worker finds the file of :func:`vocabulary` where it runs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, pattern)
+        own = encoder(path, pattern) if path else encoder(*vocabulary())
         for batch in batches:
             counts, ids_sha, decoded_sha = [], [], []
             for value in batch["text"]:
@@ -408,4 +411,4 @@ def vocabulary() -> tuple[str, str]:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trips(table(spark, sf_dir, "documents"), *vocabulary())
+    return round_trips(table(spark, sf_dir, "documents"))
