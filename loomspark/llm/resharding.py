@@ -21,6 +21,7 @@ from collections import deque
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomspark.llm.common import prefix_sums, stored, table, text_of
 
@@ -159,9 +160,13 @@ def rewrite(spark: SparkSession, old_path: str, new_path: str, capacities: list[
     placed, flow = reshard(rows, capacities)
     affected = sorted({x for i, j, _ in flow if i != j for x in (i, j)})
     place = placed.where(F.col("shard").isin(affected)).select(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc"), F.col("old_shard").alias("__old"), F.col("shard").alias("__to"))
-    place = place.dropDuplicates(["__id", "__crc", "__old"])
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.crc32(text_of(text_col).cast("binary")) == F.col("__crc")) & (F.col(shard_col) == F.col("__old"))
-    moved = docs.where(F.col(shard_col).isin(affected)).join(place, same).drop("__id", "__crc", "__old", shard_col).withColumnRenamed("__to", shard_col)
+    # Rows that are equal in these are interchangeable, but each goes to a place of its own: they are dealt by number.
+    place = place.withColumn("__place", F.row_number().over(Window.partitionBy("__id", "__crc", "__old").orderBy("__to")))
+    held = docs.where(F.col(shard_col).isin(affected)).withColumn("__text", F.crc32(text_of(text_col).cast("binary")))
+    others = [F.col(c).cast("string") for c in docs.columns if c != text_col]
+    held = held.withColumn("__number", F.row_number().over(Window.partitionBy(id_col, "__text", shard_col).orderBy(F.xxhash64(*others))))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__crc")) & (F.col(shard_col) == F.col("__old")) & (F.col("__number") == F.col("__place"))
+    moved = held.join(place, same).drop("__id", "__crc", "__old", "__text", "__number", "__place", shard_col).withColumnRenamed("__to", shard_col)
     moved.repartition(shard_col, F.pmod(F.xxhash64(id_col), F.lit(8))).write.mode("overwrite").partitionBy(shard_col).parquet(new_path)
     return affected
 
