@@ -18,8 +18,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from loomspark.llm.common import stored, table, text_of
+from loomspark.llm.common import spread_join, stored, table, text_of
 
 #: Characters that do not count in a comparison: \x20 and \x09 to \x0D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -73,7 +74,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
     found = stored(groups(docs, id_col, text_col), "exact-groups")
     rows = _marked(docs, id_col, text_col)
-    out = rows.select("doc_id", "h").join(found.where("variants = 1").drop("variants"), "h").drop("h")
+    # The groups tell which hashes are hot: their rows are spread by id.
+    sizes = found.where("variants = 1").select("h", F.col("group_size").alias("n"))
+    out = spread_join(rows.select("doc_id", "h"), found.where("variants = 1").drop("variants"), "h", ["doc_id"], sizes=sizes).drop("h")
     if not found.where("variants > 1").isEmpty():
         hard = rows.join(found.where("variants > 1").select("h"), "h", "left_semi")
         own = _by_bytes(hard)
@@ -93,19 +96,22 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of ``docs`` that stay, with all their columns; of rows with one id and equal texts, one."""
     found = stored(groups(docs, id_col, text_col), "exact-groups")
     norm = normalised(text_of(text_col))
-    marked = docs.withColumn("__hash", F.unhex(F.md5(norm)))
-    same_id = lambda keep: F.col(id_col).cast("long").eqNullSafe(keep)
-    keys = found.where("variants = 1").select(F.col("h").alias("__h"), F.col("keep_id").alias("__keep"))
-    kept = marked.join(keys, (F.col("__hash") == F.col("__h")) & same_id(F.col("__keep")), "left_semi")
+    own_id = F.col(id_col).cast("long")
+    same_id = lambda keep: own_id.eqNullSafe(keep)
+    # Hash and id in one: a struct is never null, and structs are equal where their fields are, nulls included.
+    marked = docs.withColumn("__own", F.struct(F.unhex(F.md5(norm)).alias("h"), own_id.alias("id")))
+    keys = found.where("variants = 1").select(F.struct("h", F.col("keep_id").alias("id")).alias("__key"))
+    kept = marked.join(keys, F.col("__own") == F.col("__key"), "left_semi")
+    # Rows that repeat an id and a text are side by side after the join: the longest of them stays.
+    longest = Window.partitionBy("__own").orderBy(F.length(text_of(text_col)).desc())
+    kept = kept.withColumn("__number", F.row_number().over(longest)).where("__number = 1").select(*docs.columns)
     if not found.where("variants > 1").isEmpty():
         shared = found.where("variants > 1").select(F.col("h").alias("__h"))
         hard = _marked(docs, id_col, text_col).join(shared, F.col("h") == F.col("__h"), "left_semi")
         own = _by_bytes(hard).select(F.col("norm").alias("__norm"), F.col("keep_id").alias("__keep"))
-        kept = kept.unionByName(marked.join(own, (norm == F.col("__norm")) & same_id(F.col("__keep")), "left_semi"))
-    if not docs.groupBy(id_col).count().where("count > 1").isEmpty():
-        longest = F.max_by(F.struct(*docs.columns), F.length(text_of(text_col)))
-        kept = kept.groupBy("__hash", norm.alias("__norm")).agg(longest.alias("__row")).select("__row.*")
-    return kept.select(*docs.columns)
+        more = docs.join(own, (norm == F.col("__norm")) & same_id(F.col("__keep")), "left_semi").withColumn("__own", norm)
+        kept = kept.unionByName(more.withColumn("__number", F.row_number().over(longest)).where("__number = 1").select(*docs.columns))
+    return kept
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
