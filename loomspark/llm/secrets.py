@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import stored, table, text_of
+from loomspark.llm.common import spread_join, stored, table, text_of
 
 #: The base patterns by kind, in the order in which ties are listed.
 BASE = {
@@ -137,7 +137,9 @@ def linked(rows: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, key, base (spans of the base patterns) and found (these and the linked weak spans) of every row."""
     rows = stored(scanned(docs, id_col, text_col), "secret-spans")
-    out = rows.join(linked(rows), "key", "left")
+    # Only rows with weak spans have anything to link; a text that very many rows repeat is spread by id.
+    weak = spread_join(rows.where("size(weak) > 0"), linked(rows), "key", ["doc_id"], how="left").select("doc_id", "key", "base", "linked")
+    out = weak.unionByName(rows.where("size(weak) = 0").select("doc_id", "key", "base", F.lit(None).cast(SPANS).alias("linked")))
     return out.select("doc_id", "key", in_order(F.col("base")).alias("base"), in_order(F.concat("base", F.coalesce("linked", F.array().cast(SPANS)))).alias("found"))
 
 
@@ -145,7 +147,7 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     """doc_id, text: texts with every span of :func:`scan` replaced."""
     found = scan(docs, id_col, text_col).where("size(found) > 0").select("key", "found").dropDuplicates(["key"])
     text = text_of(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.md5(text).alias("key")).join(found, "key", "left")
+    rows = spread_join(docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.md5(text).alias("key")), found, "key", ["doc_id"], how="left")
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def cut(acc: Column, s: Column) -> Column:
