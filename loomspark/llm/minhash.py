@@ -38,8 +38,9 @@ from loomspark.llm.components import components
 
 #: Words in a shingle, least similarity, registers, bands and registers in a band.
 WORDS, LEAST, REGISTERS, BANDS, ROWS = 5, 0.8, 128, 32, 4
-#: Rows of a family that one task compares: members outside the largest class, and members of all classes.
-OPEN_BLOCK, MEMBER_BLOCK = 2048, 1024
+#: Rows of a family that one task compares: members outside the largest class, and members of all classes; bytes of text
+#: that each of the two has, about (a longer text is a block of its own).
+OPEN_BLOCK, MEMBER_BLOCK, BLOCK_BYTES = 2048, 1024, 1 << 25
 
 _U = np.uint64
 _BYTE = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64)
@@ -103,17 +104,16 @@ def band_keys(kept: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndar
     return found.view(np.int64)
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Probability Jaccard similarity of two weighted shingle sets."""
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], least: float = 0.0) -> float:
+    """Probability Jaccard similarity of two weighted shingle sets; 0 where the sum of the smaller probabilities, which it
+    is at most, is under ``least``."""
     if not len(a[0]) or not len(b[0]):
         return float(len(a[0]) == len(b[0]))
     both, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    if not len(both):
-        return 0.0
     p, q = a[1] / a[1].sum(), b[1] / b[1].sum()
     pi, qi = p[i], q[j]
-    if np.minimum(pi, qi).sum() < 0.5:  # no more than this sum over one minus it can come out; far from any threshold
-        return float(np.minimum(pi, qi).sum() / (2 - np.minimum(pi, qi).sum()))
+    if not len(both) or np.minimum(pi, qi).sum() < least - 1e-9:
+        return 0.0
     # For a common i: sum_j max(p_j / p_i, q_j / q_i). With r = q / p of the common ones in order, j counts by p where
     # r_j is below r_i and by q where it is above, so running sums give all of these in one go.
     ratio = qi / pi
@@ -172,7 +172,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _cached_shingles()
         for batch in batches:
-            linked = [similarity(known(x.as_py()), shingles(y.as_py())) >= least for x, y in zip(batch["text_a"], batch["text_b"])]
+            linked = [similarity(known(x.as_py()), shingles(y.as_py()), least) >= least for x, y in zip(batch["text_a"], batch["text_b"])]
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     left = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
@@ -181,21 +181,21 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return joined.mapInArrow(run, "a binary, b binary, linked boolean")
 
 
-def links_between(opened: pa.Table, members: pa.Table, least: float) -> list[tuple[bytes, bytes]]:
-    """For each of ``opened``, a linked member of each other class; both tables have key, component, text."""
+def links_between(opened: pa.Table, members: pa.Table, least: float) -> set[tuple[bytes, bytes]]:
+    """Pairs of classes of which one of ``opened`` and one of ``members`` are linked; both tables have component, text."""
     if not opened.num_rows or not members.num_rows:
-        return []
-    keys, parts = members.column("key").to_pylist(), np.unique(np.array([c.hex() for c in members.column("component").to_pylist()]), return_inverse=True)
-    sets = [shingles(t) for t in members.column("text").to_pylist()]
+        return set()
+    parts = members.column("component").to_pylist()
+    sets = [shingles(t.as_py()) for t in members.column("text")]
     sizes = np.array([len(s) for s, _ in sets])
     every = np.concatenate([s for s, _ in sets])
     share = np.concatenate([w / w.sum() if len(w) else w for _, w in sets])
     owner = np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(every, kind="stable")
     every, share, owner = every[order], share[order], owner[order]
-    found = []
-    for key, own, text in zip(opened.column("key").to_pylist(), opened.column("component").to_pylist(), opened.column("text").to_pylist()):
-        s, w = shingles(text)
+    found = set()
+    for own, text in zip(opened.column("component").to_pylist(), opened.column("text")):
+        s, w = shingles(text.as_py())
         if not len(s):
             continue
         lo, hi = np.searchsorted(every, s, "left"), np.searchsorted(every, s, "right")
@@ -203,54 +203,57 @@ def links_between(opened: pa.Table, members: pa.Table, least: float) -> list[tup
         at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         # J_P is at most the sum of the smaller probabilities.
         common = np.bincount(owner[at], np.minimum(share[at], np.repeat(w / w.sum(), n)), len(sets))
-        done = {own.hex()}
         for m in np.flatnonzero(common >= least - 1e-9):
-            part = parts[0][parts[1][m]]
-            if part not in done and similarity((s, w), sets[m]) >= least:
-                done.add(part)
-                found.append((key, keys[m]))
+            if parts[m] != own and (own, parts[m]) not in found and similarity((s, w), sets[m], least) >= least:
+                found.add((own, parts[m]))
     return found
 
 
-def rest_links(tested: DataFrame, links: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """a, b: links between classes that the stars of a family left apart."""
-    family = components(tested.select("a", "b")).withColumnRenamed("component", "family")
-    found = components(links)
-    own = F.coalesce(F.col("component"), F.col("node"))
-    rows = stored(family.join(found, "node", "left").select(F.col("node").alias("key"), "family", own.alias("component")), "families")
-    sizes = rows.groupBy("family", "component").agg(F.count("*").alias("n"))
-    # A family of two is one star and has nothing left to compare.
-    several = sizes.groupBy("family").agg(F.count("*").alias("classes"), F.sum("n").alias("members"), F.max(F.struct("n", "component")).alias("top"))
-    several = several.where("classes > 1 and members > 2").select("family", "members", F.col("top.component").alias("largest"), (F.col("members") - F.col("top.n")).alias("opened"))
-    several = stored(several, "families-open")
-    rows = rows.join(several, "family").join(texts.select("key", "text"), "key")
-    opens, blocks = F.ceil(F.col("opened") / OPEN_BLOCK).cast("int"), F.ceil(F.col("members") / MEMBER_BLOCK).cast("int")
-    where = F.xxhash64("key")
-    cells = lambda mine, other: F.explode(F.sequence(F.lit(0), other - 1)).alias(mine)
-    outside = rows.where("component <> largest").withColumn("i", F.pmod(where, opens).cast("int"))
-    outside = outside.select("family", "i", cells("j", blocks), "key", "component", "text")
-    members = rows.withColumn("j", F.pmod(where, blocks).cast("int")).select("family", cells("i", opens), "j", "key", "component", "text")
-
-    def run(keys, opened: pa.Table, members: pa.Table) -> pa.Table:
-        _cached_shingles()
-        found = links_between(opened, members, least)
-        return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([x for _, x in found], pa.binary())})
-
-    outside = outside.toDF(*outside.columns)  # columns of its own, for both sides come from one frame
-    return outside.groupBy("family", "i", "j").cogroup(members.groupBy("family", "i", "j")).applyInArrow(run, "a binary, b binary")
+def _family_blocks(rows: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For ``rows`` (key, component, family): members outside their family's largest class, and all members, with text, by
+    cell (family, i, j) of bounded rows and bytes."""
+    rows = stored(rows.join(texts.select("key", "text"), "key").withColumn("bytes", F.octet_length("text").cast("long")), "families")
+    sizes = rows.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    whole = sizes.groupBy("family").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "component", "bytes")).alias("top"))
+    blocks = lambda n, size, most: F.ceil(F.greatest(n / most, size / BLOCK_BYTES)).cast("int")
+    whole = whole.select("family", F.col("top.component").alias("largest"), blocks(F.col("n"), F.col("bytes"), MEMBER_BLOCK).alias("blocks"),
+                         blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes"), OPEN_BLOCK).alias("opens"))
+    rows = rows.join(stored(whole, "families-open"), "family").withColumn("where", F.xxhash64("key"))
+    cells = lambda mine, other: F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(mine)
+    outside = rows.where("component <> largest").withColumn("i", F.pmod("where", F.greatest("opens", F.lit(1))).cast("int"))
+    outside = outside.select("family", "i", cells("j", "blocks"), "component", "text")
+    members = rows.withColumn("j", F.pmod("where", "blocks").cast("int")).select("family", cells("i", "opens"), "j", "component", "text")
+    return outside.toDF(*outside.columns), members  # columns of its own, for both sides come from one frame
 
 
 def classes(rows: DataFrame, least: float = LEAST) -> DataFrame:
     """key, component (what tells the class), class_id (smallest id of the class), class_size (rows of it), for the contents
     of :func:`contents`."""
-    tested = stars(stored(banded(rows), "bands"))
-    tested = stored(tested, "pairs")
+    tested = stored(stars(stored(banded(rows), "bands")), "pairs")
     wanted = tested.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     texts = bucketed(rows.join(wanted, "key", "left_semi").select("key", "text"), "texts", "key")
     checked = stored(verified(tested, texts, least), "checked")
-    links = checked.where("linked").select("a", "b")
-    links = stored(links.unionByName(rest_links(checked, links, texts, least)), "links")
-    labels = components(links)
+    found = components(checked.where("linked").select("a", "b"))
+    # Buckets that did not verify join classes to families: only classes of one family may have links left.
+    own = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"class_{side}"))
+    apart = checked.where("not linked").select("a", "b").join(own("a"), "a", "left").join(own("b"), "b", "left")
+    apart = apart.select(F.coalesce("class_a", "a").alias("a"), F.coalesce("class_b", "b").alias("b")).where("a <> b")
+    apart = stored(apart.distinct(), "apart")
+    family = components(apart).select(F.col("node").alias("component"), F.col("component").alias("family"))
+    alone = family.select(F.col("component").alias("node"), "component")  # a class's name is a member of it
+    members = found.unionByName(alone).distinct().withColumnRenamed("node", "key").join(family, "component")
+
+    def run(keys, opened: pa.Table, members: pa.Table) -> pa.Table:
+        _cached_shingles()
+        links = sorted(links_between(opened, members, least))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([x for _, x in links], pa.binary())})
+
+    opened, members = _family_blocks(members, texts)
+    links = opened.groupBy("family", "i", "j").cogroup(members.groupBy("family", "i", "j")).applyInArrow(run, "a binary, b binary")
+    # Classes that these links join: components over classes, not over documents.
+    joined = components(links).select(F.col("node").alias("class"), F.col("component").alias("whole"))
+    labels = found.withColumnRenamed("component", "class").unionByName(family.select(F.col("component").alias("node"), F.col("component").alias("class"))).distinct()
+    labels = labels.join(joined, "class", "left").select("node", F.coalesce("whole", "class").alias("component"))
     labelled = rows.drop("text").join(labels, F.col("key") == F.col("node"), "left").withColumn("component", F.coalesce("component", "key")).drop("node")
     labelled = stored(labelled, "labelled")
     whole = labelled.groupBy("component").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
@@ -270,12 +273,13 @@ def drop_near_duplicates(docs: DataFrame, least: float = LEAST, id_col: str = "d
     found = stored(classes(contents(docs, id_col, text_col), least), "classes")
     # Classes are told by their component: null ids and ids that repeat make class_id the same for several.
     top = F.min(F.struct(F.col("first_id").isNull(), "first_id", "key")).alias("top")
-    first = found.groupBy("component").agg(top).select(F.col("top.key").alias("__key"), F.col("top.first_id").alias("__id"))
-    mine = docs.withColumn("__content", key_of(content(text_of(text_col))))
-    kept = mine.join(first, (F.col("__content") == F.col("__key")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    if not docs.groupBy(id_col).count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["__content"])
-    return kept.drop("__content")
+    first = found.groupBy("component").agg(top).select(F.struct(F.col("top.key").alias("key"), F.col("top.first_id").alias("id")).alias("__first"))
+    # Content and id in one: a struct is never null, and structs are equal where their fields are, nulls included.
+    mine = docs.withColumn("__own", F.struct(key_of(content(text_of(text_col))).alias("key"), F.col(id_col).cast("long").alias("id")))
+    kept = mine.join(first, F.col("__own") == F.col("__first"), "left_semi")
+    # Rows that repeat an id and a content are side by side after the join: one of them stays.
+    number = F.row_number().over(Window.partitionBy("__own").orderBy("__own"))
+    return kept.withColumn("__number", number).where("__number = 1").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
