@@ -35,7 +35,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The encoding of every text: doc_id, n_tokens, and hashes of the ids and of their decoding."""
-    return bpe.round_trips(docs, *bpe.vocabulary())
+    return bpe.round_trips(docs)
 
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("mix", mix), ("tokens", tokens)]
