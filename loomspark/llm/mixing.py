@@ -213,7 +213,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that are drawn n times or more, in their order and with the space after them; one that has all words is left as it is."""
     rows = stored(_streams(docs, id_col, text_col, source_col), "mix-streams")
     plan = planned(rows.groupBy("source").agg(F.sum("size").alias("source_size")), block_words, **weights)
-    piece = F.struct((F.col("begin") - F.col("start")).cast("int").alias("at"), F.col("words").cast("int").alias("words"), "times")
+    piece = F.struct((F.col("block") - F.call_function("div", F.col("start"), F.lit(block_words))).cast("int").alias("at"), F.col("words").cast("int").alias("words"), "times")
     took = _taken(rows, plan, block_words, seed).where("times > 0").groupBy("doc_id", "source", "tie", "start", "size").agg(F.array_sort(F.collect_list(piece)).alias("__pieces"))
     # Rows equal in id, source and text have places of their own in the stream, and are dealt to them by number.
     same = Window.partitionBy("doc_id", "source", "tie").orderBy("start")
@@ -226,7 +226,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     else:
         took = took.withColumn("__number", F.lit(1))
     # A struct is never null, and structs are equal where their fields are, nulls included.
-    took = took.select(F.struct("doc_id", "source", "tie").alias("__own"), F.col("size").alias("__size"), "__pieces", F.col("__number").alias("__place"))
+    took = took.select(F.struct("doc_id", "source", "tie").alias("__own"), F.col("size").alias("__size"), F.col("start").alias("__start"), "__pieces", F.col("__number").alias("__place"))
     text = F.col(text_col).cast("string")
     key = F.struct(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text).alias("tie"))
     marked = docs.withColumn("__key", key)
@@ -236,8 +236,13 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     most = F.array_max(F.transform("__pieces", lambda x: x["times"])).cast("int")
     joined = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), most)))
     joined = joined.withColumn("__pieces", F.filter("__pieces", lambda x: x["times"] >= F.col("__copy")))
-    words = F.regexp_extract_all(text, F.lit(WORD + SPACE), F.lit(0))
-    cut = bound(words, lambda w: F.array_join(F.flatten(F.transform("__pieces", lambda x: F.slice(w, x["at"] + 1, x["words"]))), ""))
+    # A text falls into the words that its first block has, then as many as a block each: never an array of single words.
+    first = F.least(F.lit(block_words) - F.pmod("__start", F.lit(block_words)), F.col("__size"))
+    head = F.call_function("regexp_extract", text, F.concat(F.lit(f"^{SPACE}+(?:{WORD}+{SPACE}+){{"), first.cast("string"), F.lit("}+")), F.lit(0))
+    joined = joined.withColumn("__head", head)
+    tail = F.regexp_extract_all(F.substr(text, F.length("__head") + 1), F.lit(f"(?:{WORD}+{SPACE}+){{1,{block_words}}}+"), F.lit(0))
+    joined = joined.withColumn("__parts", F.concat(F.array(F.regexp_replace("__head", "^" + SPACE, "")), tail))
+    cut = F.array_join(F.transform("__pieces", lambda x: F.element_at("__parts", x["at"] + 1)), "")
     left = F.aggregate("__pieces", F.lit(0).cast("long"), lambda n, x: n + x["words"])
     out = joined.withColumn(text_col, F.when(left < F.col("__size"), F.regexp_replace(cut, SPACE + r"\z", "")).otherwise(text))
     if "n_chars" in docs.columns:
