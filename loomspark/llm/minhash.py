@@ -25,7 +25,6 @@ the columns named here, so others cannot clash.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +32,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomspark.llm.common import bucketed, stored, table, text_of, worker_tables
+from loomspark.llm.common import bucketed, release, stored, table, text_of
 from loomspark.llm.components import components
 
 #: Words in a shingle, least similarity, registers, bands and registers in a band.
 WORDS, LEAST, REGISTERS, BANDS, ROWS = 5, 0.8, 128, 32, 4
 #: Rows of a family that one task compares: members outside the largest class, and members of all classes; bytes of text
 #: that each of the two has, about (a longer text is a block of its own).
-OPEN_BLOCK, MEMBER_BLOCK, BLOCK_BYTES = 2048, 1024, 1 << 25
+OPEN_BLOCK, MEMBER_BLOCK, BLOCK_BYTES = 2048, 1024, 1 << 23
 
 _U = np.uint64
 _BYTE = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64)
@@ -146,19 +145,15 @@ def banded(rows: DataFrame) -> DataFrame:
     """key, copies and bands (array) of each content that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _cached_shingles()
+        release()
         for batch in batches:
             bands = [band_keys(signature(*shingles(t.as_py()))) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["key"], batch["copies"], pa.array(bands, pa.list_(pa.int64()))], ["key", "copies", "bands"])
+        release()
 
     return rows.where("text <> ''").select("key", "copies", "text").mapInArrow(run, "key binary, copies long, bands array<long>")
 
 
-def _cached_shingles():
-    """:func:`shingles` with the last texts' results kept: pairs come by pivot."""
-    return worker_tables("minhash", lambda: lru_cache(maxsize=512)(shingles))
-
-
 def stars(bands: DataFrame) -> DataFrame:
     """a (pivot), b: each member of a bucket with the bucket's pivot."""
     rows = bands.select("key", "copies", F.explode("bands").alias("band"))
@@ -170,10 +165,17 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """``pairs`` (a, b) with ``linked``: whether their similarity is at least ``least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _cached_shingles()
+        release()
+        pivot = known = None
         for batch in batches:
-            linked = [similarity(known(x.as_py()), shingles(y.as_py()), least) >= least for x, y in zip(batch["text_a"], batch["text_b"])]
+            linked = []
+            for a, x, y in zip(batch["a"].to_pylist(), batch["text_a"], batch["text_b"]):
+                if a != pivot:  # pairs come in order of their pivots
+                    pivot, known = a, shingles(x.as_py())
+                linked.append(similarity(known, shingles(y.as_py()), least) >= least)
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+        known = None
+        release()
 
     left = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
@@ -244,8 +246,9 @@ def classes(rows: DataFrame, least: float = LEAST) -> DataFrame:
     members = found.unionByName(alone).distinct().withColumnRenamed("node", "key").join(family, "component")
 
     def run(keys, opened: pa.Table, members: pa.Table) -> pa.Table:
-        _cached_shingles()
         links = sorted(links_between(opened, members, least))
+        if opened.nbytes + members.nbytes > BLOCK_BYTES // 4:
+            release()
         return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([x for _, x in links], pa.binary())})
 
     opened, members = _family_blocks(members, texts)
