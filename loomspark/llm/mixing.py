@@ -159,6 +159,11 @@ def _streams(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Da
     return prefix_sums(rows, ["source"], ["doc_id", "size", "tie"], "size", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)), "start")
 
 
+def _plan(rows: DataFrame, block_words: int, weights: dict) -> DataFrame:
+    """:func:`planned` for streams, as a table of a row for each source."""
+    return stored(planned(rows.groupBy("source").agg(F.sum("size").alias("source_size")), block_words, **weights), "mix-plan")
+
+
 def _segments(rows: DataFrame, block_words: int) -> DataFrame:
     """A row for each document and block that it has words in."""
     last = F.floor((F.col("start") + F.col("size") - 1) / block_words).cast("long")
@@ -179,7 +184,8 @@ def _same_block() -> Column:
 
 def _taken(rows: DataFrame, plan: DataFrame, block_words: int, seed: int) -> DataFrame:
     """:func:`_segments` with ``times``, how often the mix takes their block (null for never)."""
-    times = _named(drawn(plan, seed=seed).groupBy("source", "block").agg(F.count("*").alias("times")))
+    # A table of its own, so that the plan which handles texts holds no permutation.
+    times = _named(stored(drawn(plan, seed=seed).groupBy("source", "block").agg(F.count("*").alias("times")), "mix-times"))
     # Slots grow with the input, and the planner takes what was unfolded for small: no broadcast.
     return _segments(rows, block_words).join(times.hint("merge"), _same_block(), "left")
 
@@ -187,7 +193,7 @@ def _taken(rows: DataFrame, plan: DataFrame, block_words: int, seed: int) -> Dat
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, seed: int = SEED, **weights) -> DataFrame:
     """One row per document: doc_id, source, size, tie, source_size, target, taken (words the mix takes of it)."""
     rows = stored(_streams(docs, id_col, text_col, source_col), "mix-streams")
-    plan = planned(rows.groupBy("source").agg(F.sum("size").alias("source_size")), block_words, **weights)
+    plan = _plan(rows, block_words, weights)
     took = _taken(rows, plan, block_words, seed)
     took = took.groupBy("doc_id", "source", "size", "tie", "start").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
     took = took.drop("start").unionByName(rows.where("size = 0").select("doc_id", "source", "size", "tie", F.lit(0).cast("long").alias("taken")))
@@ -198,7 +204,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED, **weights) -> DataFrame:
     """The mix itself: shard, position, source, block, text (the block's words, single-spaced)."""
     rows = stored(_streams(docs, id_col, text_col, source_col), "mix-streams")
-    plan = planned(rows.groupBy("source").agg(F.sum("size").alias("source_size")), block_words, **weights)
+    plan = _plan(rows, block_words, weights)
     text = F.col(text_col).cast("string")
     texts = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__tie"), text.alias("__text")).dropDuplicates(["__id", "__tie"])
     cut = _segments(rows, block_words).join(texts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("tie") == F.col("__tie")))
@@ -212,7 +218,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``docs`` as the mix takes them, with their columns: the n-th copy of a document has the words of those of its blocks
     that are drawn n times or more, in their order and with the space after them; one that has all words is left as it is."""
     rows = stored(_streams(docs, id_col, text_col, source_col), "mix-streams")
-    plan = planned(rows.groupBy("source").agg(F.sum("size").alias("source_size")), block_words, **weights)
+    plan = _plan(rows, block_words, weights)
     piece = F.struct((F.col("block") - F.call_function("div", F.col("start"), F.lit(block_words))).cast("int").alias("at"), F.col("words").cast("int").alias("words"), "times")
     took = _taken(rows, plan, block_words, seed).where("times > 0").groupBy("doc_id", "source", "tie", "start", "size").agg(F.array_sort(F.collect_list(piece)).alias("__pieces"))
     # Rows equal in id, source and text have places of their own in the stream, and are dealt to them by number.

@@ -72,7 +72,7 @@ def test_words_taken_by_a_plain_version(docs, plan):
     assert {r["doc_id"]: r["taken"] for r in mixing.mix(docs, block_words=BLOCK).collect()} == want
 
 
-def test_the_draw_is_carried_out(docs):
-    """The per-shard table is stored and read, and the blocks come from its indexes."""
-    plan = mixing.mix(docs, block_words=BLOCK)._jdf.queryExecution().optimizedPlan().toString()
-    assert "mix-draw" in plan or "first#" in plan and "count#" in plan and "turn#" in plan
+def test_the_slots_come_from_the_stored_draw(plan):
+    """The plan of the slots reads counts and first indexes of shards; the mix stores what it makes of them."""
+    found = mixing.drawn(plan, SHARD)._jdf.queryExecution().optimizedPlan().toString()
+    assert all(f"{c}#" in found for c in ("shard", "count", "first", "turn")) and "parquet" in found
