@@ -14,8 +14,8 @@ to the text it completes and the state after. Malformed bytes become U+FFFD, so
 
 Cases: a null text is encoded as empty and gives no ids; a text of any length is encoded whole, piece by piece; rows
 that repeat are encoded each; an empty table gives an empty result; the output holds the id column and its own columns,
-so other columns cannot clash. Kept transitions and pieces are bounded in number: a full table of pieces is begun anew,
-transitions that a full table lacks are worked out for the piece at hand. That costs time and changes no result.
+so other columns cannot clash. Kept transitions and pieces are bounded in number: a full table of pieces is begun anew (what is
+asked for again moves over), transitions that a full table lacks are worked out for the piece at hand. That costs time and changes no result.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from loomspark.llm.common import table, worker_tables
 
 #: Most entries of a worker's table of pieces, of transitions and of checked pairs.
-MOST_PIECES, MOST_STATES, MOST_PAIRS = 400_000, 60_000, 500_000
+MOST_PIECES, MOST_STATES, MOST_PAIRS = 600_000, 60_000, 500_000
 #: Longest piece, in bytes, that the table of pieces holds.
 LONGEST_KEPT = 64
 
@@ -82,6 +82,9 @@ class Transducer:
                 node = after
             self.token_at[node] = rank
         self.has_children = [n in inner for n in range(len(self.token_at))]
+        # Tokens that begin, or end, a merge of two: parts that do neither can be left out of a check.
+        cuts = [(t[:i], t[i:]) for t in ranks for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        self.begins, self.ends = {x for x, _ in cuts}, {y for _, y in cuts}
         self.pairs: dict[tuple[int | None, int], bool] = {}
         self.edges: dict[int, tuple[bool, list, list]] = {}
         self.numbers: dict[tuple, int] = {}
@@ -123,7 +126,9 @@ class Transducer:
                         ends[side].append(rank)
             whole_again = len(parts) == 1
             never = float("inf")
-            found = (whole_again if ordered else None, list(zip(left, [*ends[0], never])), list(zip(right, [*ends[1], never])))
+            at_left = [(y, rank) for y, rank in zip(left, [*ends[0], never]) if y in self.ends]
+            at_right = [(x, rank) for x, rank in zip(right, [*ends[1], never]) if x in self.begins]
+            found = (whole_again if ordered else None, at_left, at_right)
             self.edges[token] = found
         return found
 
@@ -225,15 +230,28 @@ class Transducer:
 class Pieces(dict):
     """From a piece of text to its ids in decimal, joined by commas."""
 
-    def __init__(self, encode, key_prefix: str = "", split=None):
+    def __init__(self, encode, key_prefix: str = "", split=None, pieces: dict | None = None):
         super().__init__()
-        self.encode, self.key_prefix, self.split = encode, key_prefix, split
+        self.encode, self.key_prefix, self.split, self.pieces = encode, key_prefix, split, pieces
+        #: The entries of before the table was last full; those asked for again move over.
+        self.older: dict[str, str] = {}
 
     def __missing__(self, key: str) -> str:
+        found = self.older.get(key)
+        if found is not None:
+            self[key] = found
+            return found
         piece = self.key_prefix + key
-        found = ",".join(map(str, self.encode(piece.encode()))) if self.split is None else ",".join(map(self.encode, self.split(piece)))
+        # Letters alone are one piece. Of several, those that begin with the prefix are kept here, others with the pieces.
+        parts = [piece] if self.split is None or key.isalpha() else self.split(piece)
+        if len(parts) == 1:
+            found = ",".join(map(str, self.encode(piece.encode())))
+        else:
+            size = len(self.key_prefix)
+            found = ",".join([self[p[size:]] if p.startswith(self.key_prefix) else self.pieces[p] for p in parts])
         if len(piece) <= LONGEST_KEPT:
-            if len(self) >= MOST_PIECES:
+            if len(self) >= MOST_PIECES // 2:
+                self.older = dict(self)
                 self.clear()
             self[key] = found
         return found
@@ -319,7 +337,7 @@ class Encoder:
         self.split = regex.compile(pattern)
         self.pieces = Pieces(self.transducer.encode)
         #: From what stands between two spaces to the ids of it and the space before it.
-        self.words = Pieces(self.pieces.__getitem__, " ", self.split.findall) if pattern in SPACED else None
+        self.words = Pieces(self.transducer.encode, " ", self.split.findall, self.pieces) if pattern in SPACED else None
         self.decoder = StreamDecoder(self.transducer.bytes_of)
 
     def joined(self, text: str) -> str:
