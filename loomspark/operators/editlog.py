@@ -1,4 +1,4 @@
-"""An edit log over groups of members: nine kinds of operations, each with its inverse, folded in order.
+"""An edit log over groups of members: kinds of operations, each with its inverse, folded in order.
 
 The state of a draft is a mapping from (theme, title) to members. The fold is sequential within a draft, so drafts are
 the groups; the same function serves batch (``applyInPandas``) and stream (``streaming.drafts``).
@@ -20,9 +20,13 @@ REQUIRED = {
     "DELETE_POSITION": {"key"},
     "UPDATE_POSITION": {"key", "theme", "title"},
     "MARK_NO_OPINION": {"responses"},
+    "CREATE_THEME": {"theme"},
+    "DELETE_THEME": {"theme"},
     "RESTORE_STATE": {"state"},
 }
 NO_OPINION = ("other", "no opinion")
+#: What stands for a theme that has no position yet.
+EMPTY = ""
 State = dict[tuple[str, str], list[int]]
 
 
@@ -45,15 +49,22 @@ def applied(state: State, kind: str, data: dict) -> tuple[State, tuple[str, dict
         source, target, who = key(data["source"]), key(data["target"]), data["response"]
         if who not in new.get(source, []):
             raise ValueError("the response is not in the position")
+        if target not in new:
+            raise ValueError("there is no such position to move to")
         new[source].remove(who)
         new[target] = sorted({*new.get(target, []), who})
     elif kind == "CREATE_POSITION":
+        if (data["theme"], data["title"]) in new:
+            raise ValueError("the position exists")
         for members in new.values():
             members[:] = [m for m in members if m not in data["responses"]]
+        new.pop((data["theme"], EMPTY), None)
         new[(data["theme"], data["title"])] = sorted(set(data["responses"]))
     elif kind == "MERGE_POSITIONS":
         if len(data["keys"]) < 2:
             raise ValueError("a merge needs two positions")
+        if (data["theme"], data["title"]) in new and [data["theme"], data["title"]] not in [list(k) for k in data["keys"]]:
+            raise ValueError("another position has that title")
         members = sorted({m for k in data["keys"] for m in new.pop(key(k))})
         new[(data["theme"], data["title"])] = members
     elif kind == "UNMERGE_POSITIONS":
@@ -68,11 +79,23 @@ def applied(state: State, kind: str, data: dict) -> tuple[State, tuple[str, dict
     elif kind == "DELETE_POSITION":
         new.pop(key(data["key"]))
     elif kind == "UPDATE_POSITION":
+        if key(data["key"]) != (data["theme"], data["title"]) and (data["theme"], data["title"]) in new:
+            raise ValueError("another position has that title")
         new[(data["theme"], data["title"])] = new.pop(key(data["key"]))
     elif kind == "MARK_NO_OPINION":
         for members in new.values():
             members[:] = [m for m in members if m not in data["responses"]]
         new[NO_OPINION] = sorted({*new.get(NO_OPINION, []), *data["responses"]})
+    elif kind == "CREATE_THEME":
+        if any(theme == data["theme"] for theme, _ in new):
+            raise ValueError("the theme exists")
+        new[(data["theme"], EMPTY)] = []
+    elif kind == "DELETE_THEME":
+        own = [k for k in new if k[0] == data["theme"]]
+        if not own or any(new[k] or k[1] != EMPTY for k in own):
+            raise ValueError("there is no such theme without positions")
+        for k in own:
+            new.pop(k)
     else:
         new = {(t, n): list(m) for t, n, m in data["state"]}
     return new, ("RESTORE_STATE", {"state": [[t, n, m] for (t, n), m in before.items()]})

@@ -25,8 +25,8 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "id", most_rounds
         changed = not new.where("label <> was").isEmpty()
         labels = new.select("node", "label")
         if not changed:
-            break
-    return labels.select(F.col("node").alias(node), F.col("label").alias("component"))
+            return labels.select(F.col("node").alias(node), F.col("label").alias("component"))
+    raise RuntimeError(f"labels still change after {most_rounds} rounds")
 
 
 def merge_targets(merges: DataFrame, most_rounds: int = 60) -> DataFrame:

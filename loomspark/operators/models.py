@@ -40,13 +40,15 @@ def stub_extract(texts: list[str]) -> list[list[str]]:
     return [[s.strip() for s in t.split(".") if s.strip()] for t in texts]
 
 
-def _tried(call: Callable, batch: list, tries: int, empty):
+def _tried(call: Callable, batch: list, tries: int, empty) -> tuple[list, list[str | None]]:
+    """The model's values and, where it failed to the last, empty ones with what went wrong."""
+    error = "no try"
     for _ in range(tries):
         try:
-            return call(batch)
-        except Exception:  # noqa: BLE001  a model may fail in any way; the batch then comes out empty
-            continue
-    return [empty] * len(batch)
+            return call(batch), [None] * len(batch)
+        except Exception as e:  # noqa: BLE001  a model may fail in any way; the rows then say how
+            error = f"{type(e).__name__}: {e}"
+    return [empty] * len(batch), [error] * len(batch)
 
 
 def _batches(rows: list, size: int) -> Iterator[list]:
@@ -54,20 +56,31 @@ def _batches(rows: list, size: int) -> Iterator[list]:
         yield rows[i : i + size]
 
 
-def with_column(df: DataFrame, inputs: list[str], out: str, kind: str, call: Callable, batch: int = 100, tries: int = 3, most_chars: int = 8000, empty=None) -> DataFrame:
-    """``df`` with the model's value for each row. Inputs are cut to ``most_chars``; one input gives texts, several tuples."""
+def with_column(df: DataFrame, inputs: list[str], out: str, kind: str, call: Callable, batch: int = 100, tries: int = 3, most_chars: int | None = None, empty=None, error: str | None = None) -> DataFrame:
+    """``df`` with the model's value for each row; one input gives texts, several tuples.
+
+    Inputs are whole unless ``most_chars`` cuts them. Rows of a batch that fails ``tries`` times get ``empty`` and, in the column
+    that ``error`` names, the reason; without such a column the job fails.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    schema = StructType.fromDDL(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + f", {out} {kind}")
+    schema = StructType.fromDDL(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + f", {out} {kind}" + (f", {error} string" if error else ""))
     arrow = to_arrow_schema(schema).field(out).type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = [[(x or "")[:most_chars] for x in b[c].to_pylist()] for c in inputs]
             rows = cols[0] if len(inputs) == 1 else list(zip(*cols))
-            values = [v for part in _batches(rows, batch) for v in _tried(call, part, tries, empty)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, arrow)], [*b.schema.names, out])
+            values, errors = [], []
+            for part in _batches(rows, batch):
+                got, why = _tried(call, part, tries, empty)
+                values += got
+                errors += why
+            if error is None and any(errors):
+                raise RuntimeError(f"the model failed {tries} times: {next(filter(None, errors))}")
+            more = [pa.array(errors, pa.string())] if error else []
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, arrow), *more], [*b.schema.names, out, *([error] if error else [])])
 
     return df.mapInArrow(run, schema)
 

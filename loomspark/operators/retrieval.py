@@ -6,23 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomspark.functions.text import tokenize
+from loomspark.functions.text import bound, tokenize
 from loomspark.functions.vectors import cosine
+from loomspark.sources.tables import checkpointed
 
 
-def _occurrences(words: Column, term: str) -> Column:
+def occurrences(words: Column, term: str) -> Column:
     return F.size(F.filter(words, lambda w: w == F.lit(term))).cast("double")
 
 
 def bm25(chunks: DataFrame, terms: list[str], id_col: str, text_col: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """id, score: BM25 over the query's number of terms, then over the largest score (at least 1).
 
-    A term's frequency in the query weighs it; its document frequency counts each text once. One pass over the texts
-    counts length and query terms row by row; only numbers per term meet in aggregates.
+    A term's frequency in the query weighs it; its document frequency counts each text once. Texts are read and parted
+    into words once: length and term counts are stored as a table of numbers, which all that follows reads.
     """
     weight = {t: terms.count(t) for t in terms}
-    words = tokenize(text_col)
-    rows = chunks.select(F.col(id_col), F.size(words).cast("double").alias("len"), *[_occurrences(words, t).alias(f"tf{i}") for i, t in enumerate(weight)])
+
+    def counted(words: Column) -> Column:
+        here = [occurrences(words, t).alias(f"tf{i}") for i, t in enumerate(weight)]
+        return F.struct(F.size(words).cast("double").alias("len"), *here)
+
+    # One array, one element: the words are worked out once for all counts of a row.
+    rows = checkpointed(chunks.select(F.col(id_col), bound(tokenize(text_col), counted).alias("c")).select(id_col, "c.*"))
     facts = rows.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avg_len"), *[F.sum((F.col(f"tf{i}") > 0).cast("double")).alias(f"df{i}") for i in range(len(weight))])
     score = F.lit(0.0)
     for i, n in enumerate(weight.values()):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,7 +15,8 @@ from loomspark.sources.tables import checkpointed
 def cosine_pairs(rows: DataFrame, id_col: str, vector: str, least: float | None = None, by: list[str] | None = None) -> DataFrame:
     """i, j, sim for i < j, within blocks of equal ``by`` where given. Norms are computed once per row.
 
-    Without blocks the work is quadratic: :func:`lsh_pairs` is the form for large inputs.
+    Without blocks the work is quadratic: :func:`all_pairs` is the form for whole tables, :func:`lsh_pairs` the one that
+    may miss some.
     """
     by = by or []
     side = lambda n: rows.select(*[F.col(c).alias(f"{c}_{n}") for c in by], F.col(id_col).alias(n), F.col(vector).alias(f"v_{n}"), norm(F.col(vector)).alias(f"norm_{n}"))
@@ -26,6 +28,57 @@ def cosine_pairs(rows: DataFrame, id_col: str, vector: str, least: float | None
     return pairs if least is None else pairs.where(F.col("sim") >= least)
 
 
+#: Rows on either side of a block of pairs.
+PAIR_BLOCK = 1024
+
+
+def all_pairs(rows: DataFrame, id_col: str, vector: str, least: float | None = None) -> DataFrame:
+    """i, j, sim for all i < j whose cosine reaches ``least``: every pair is looked at, as products of blocks of vectors.
+
+    Rows are dealt to n / ``PAIR_BLOCK`` parts by a hash, and each two parts meet in a task of its own, so no task holds more
+    than two parts. Ids are longs; rows without a vector, or with one of another width than the block's, make no pair.
+    """
+    rows = checkpointed(rows.where(F.col(vector).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v")))
+    parts = max(1, -(-rows.count() // PAIR_BLOCK))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("other")
+    cells = rows.select("id", "v", "part", other).select("id", "v", "part", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
+
+    def run(cell: pa.Table) -> pa.Table:
+        groups: dict[int, list[int]] = {}
+        values = cell.column("v").to_pylist()
+        for n, v in enumerate(values):
+            if all(x is not None for x in v):
+                groups.setdefault(len(v), []).append(n)
+        ids, part = cell.column("id").to_numpy(), cell.column("part").to_numpy()
+        own = cell.column("a")[0].as_py() == cell.column("b")[0].as_py()
+        i, j, sim = [], [], []
+        for at in groups.values():
+            m = np.array([values[n] for n in at], float).reshape(len(at), -1)
+            m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+            here, there = (np.arange(len(at)),) * 2 if own else (np.flatnonzero(part[at] == part.min()), np.flatnonzero(part[at] != part.min()))
+            found = m[here] @ m[there].T
+            x, y = ids[at][here][:, None], ids[at][there][None, :]
+            keep = (x < y) if own else (x != y)
+            if least is not None:
+                keep = keep & (found >= least)
+            r, c = np.nonzero(keep)
+            left, right = ids[at][here][r], ids[at][there][c]
+            i.append(np.minimum(left, right))
+            j.append(np.maximum(left, right))
+            sim.append(found[r, c])
+        one = lambda x, kind: np.concatenate(x).astype(kind) if x else np.array([], kind)
+        return pa.table({"i": one(i, np.int64), "j": one(j, np.int64), "sim": one(sim, np.float64)})
+
+    return cells.groupBy("a", "b").applyInArrow(run, "i long, j long, sim double")
+
+
+def tables_for(least: float, planes: int, recall: float) -> int:
+    """Tables of planes with which a pair of cosine ``least`` shares a bucket with probability ``recall``."""
+    same = (1 - np.arccos(least) / np.pi) ** planes
+    return int(np.ceil(np.log(1 - recall) / np.log(1 - same)))
+
+
 def sign_hashes(rows: DataFrame, id_col: str, vector: str, tables: int = 12, planes: int = 8, seed: int = 7) -> DataFrame:
     """id, vector and bucket: the signs of projections on random planes, a row for each table of planes."""
     width = rows.select(F.size(vector).alias("n")).agg(F.max("n")).first()[0] or 0
@@ -41,9 +94,12 @@ def sign_hashes(rows: DataFrame, id_col: str, vector: str, tables: int = 12, pla
     return rows.select(F.col(id_col), F.col(vector), F.explode(F.array(*keys)).alias("bucket"))
 
 
-def lsh_pairs(rows: DataFrame, id_col: str, vector: str, least: float, tables: int = 12, planes: int = 8) -> DataFrame:
-    """Pairs that share a bucket and reach ``least``: a hash join in place of the quadratic one; candidates are not capped."""
-    hashed = sign_hashes(rows, id_col, vector, tables, planes)
+def lsh_pairs(rows: DataFrame, id_col: str, vector: str, least: float, planes: int = 3, recall: float = 0.98) -> DataFrame:
+    """Pairs that share a bucket and reach ``least``: a hash join in place of the quadratic one; candidates are not capped.
+
+    There are as many tables as give a pair at the threshold the wanted probability; low thresholds need few planes.
+    """
+    hashed = sign_hashes(rows, id_col, vector, tables_for(least, planes, recall), planes)
     keys = hashed.select(id_col, "bucket")
     pairs = keys.select(F.col(id_col).alias("i"), "bucket").join(keys.select(F.col(id_col).alias("j"), "bucket"), "bucket").where("i < j").select("i", "j").distinct()
     v = rows.select(id_col, vector)
@@ -101,8 +157,8 @@ def kmeans(rows: DataFrame, id_col: str, vector: str, k: int, most_rounds: int =
         same = all(np.allclose(moved[i], cents[i], atol=1e-9) for i in cents)
         cents = moved
         if same:
-            break
-    return labelled.select(id_col, "cluster")
+            return labelled.select(id_col, "cluster")
+    raise RuntimeError(f"clusters still move after {most_rounds} rounds")
 
 
 def farthest_points(rows: DataFrame, group: list[str], id_col: str, vector: str, most: int = 40) -> DataFrame:

@@ -8,7 +8,7 @@ from loomspark.functions.vectors import centroids, cosine
 from loomspark.operators import retrieval as R
 from loomspark.operators import similarity as S
 from loomspark.plans.registry import query
-from loomspark.sources.tables import read
+from loomspark.sources.tables import checkpointed, read
 
 TERMS = ["the", "and", "with", "reth", "nicht", "para"]
 
@@ -82,12 +82,12 @@ def substance_retrieval(spark, d):
 
 
 _PAIRS = """p AS (SELECT a.vec_id AS i, b.vec_id AS j, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS sim
-  FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label = b.label)"""
+  FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)"""
 
 
 @query("pairwise_cosine_threshold", f"WITH {_PAIRS} SELECT i, j, round(sim, 6) AS sim FROM p WHERE sim >= 0.35")
 def pairwise_cosine_threshold(spark, d):
-    return S.cosine_pairs(read(spark, d, "embeddings"), "vec_id", "embedding", 0.35, by=["label"]).select("i", "j", F.round("sim", 6).alias("sim"))
+    return S.all_pairs(read(spark, d, "embeddings"), "vec_id", "embedding", 0.35).select("i", "j", F.round("sim", 6).alias("sim"))
 
 
 @query("similarity_distribution", f"""WITH {_PAIRS}, s AS (SELECT sim FROM p)
@@ -97,7 +97,7 @@ SELECT count(*) AS n, round(avg(sim), 6) AS mean, round(stddev_pop(sim), 6) AS s
  round(list_sort(list(sim))[CAST(floor(count(*) * 0.9) AS BIGINT) + 1], 6) AS p90,
  round(1 - avg(sim), 6) AS diversity FROM s""")
 def similarity_distribution(spark, d):
-    return S.distribution(S.cosine_pairs(read(spark, d, "embeddings"), "vec_id", "embedding", by=["label"]))
+    return S.distribution(checkpointed(S.all_pairs(read(spark, d, "embeddings"), "vec_id", "embedding")))
 
 
 @query("label_centroids", """WITH e AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings)
@@ -148,7 +148,7 @@ def similarity_clusters(spark, d):
     from loomspark.operators.graph import components
 
     rows = read(spark, d, "embeddings")
-    pairs = S.cosine_pairs(rows, "vec_id", "embedding", 0.35, by=["label"])
+    pairs = S.all_pairs(rows, "vec_id", "embedding", 0.35)
     return components(rows.select("vec_id"), pairs.select(F.col("i").alias("a"), F.col("j").alias("b")), "vec_id")
 
 

@@ -9,29 +9,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-MOST_PAGES = 100
+#: Pages asked for unless the caller says how many there are; times a page is asked for before the read fails.
+MOST_PAGES, TRIES = 100, 3
 ITEM = "struct<id: string, type: string, attributes: map<string, string>, relationships: map<string, string>>"
 
 
 class Pages(DataSourceReader):
-    """One partition for each page number; a page that is missing or empty gives no row."""
+    """One partition for each page number. A page that does not exist (404) or has no data gives no row; any other error, and
+    data on the page after the last one asked for, fail the read."""
 
     def __init__(self, options: dict[str, str]):
         self.url, self.pages = options["url"], int(options.get("pages", MOST_PAGES))
 
     def partitions(self):
-        return [InputPartition(i) for i in range(1, self.pages + 1)]
+        return [InputPartition(i) for i in range(1, self.pages + 2)]
 
     def read(self, partition):
-        from urllib.error import URLError
+        from urllib.error import HTTPError
         from urllib.request import urlopen
 
-        try:
-            with urlopen(self.url.replace("{page}", str(partition.value)), timeout=60) as r:
-                body = r.read().decode()
-        except (URLError, OSError):
-            return
+        for left in reversed(range(TRIES)):
+            try:
+                with urlopen(self.url.replace("{page}", str(partition.value)), timeout=60) as r:
+                    body = r.read().decode()
+                break
+            except HTTPError as e:
+                if e.code == 404:
+                    return
+                if not left:
+                    raise
+            except FileNotFoundError:
+                return
+            except OSError as e:
+                if isinstance(getattr(e, "reason", None), FileNotFoundError):
+                    return
+                if not left:
+                    raise
         if json.loads(body).get("data"):
+            if partition.value > self.pages:
+                raise ValueError(f"there are more than {self.pages} pages; say how many")
             yield partition.value, body
 
 

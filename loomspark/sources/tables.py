@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+#: Used only on one machine, where the session names no folder.
 OWN_FOLDER = "/tmp/checkpoints/loomspark"
 
 
@@ -27,7 +28,11 @@ def register(spark: SparkSession, folder: str) -> None:
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the folder that the session names in ``spark.checkpoint.dir``, and read again."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or OWN_FOLDER
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = OWN_FOLDER
     path = f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -95,7 +95,10 @@ def test_models_keep_order_and_survive_failures(spark):
     def fails(batch):
         raise RuntimeError
 
-    assert all(r["embedding"] == [] for r in models.embedded(d, "text", fails).collect())
+    lost = models.embedded(d, "text", fails, error="why").collect()
+    assert lost and all(r["embedding"] == [] and "Error" in r["why"] for r in lost)
+    with pytest.raises(Exception, match="the model failed 3 times"):
+        models.embedded(d, "text", fails).collect()
 
 
 def test_a_run_resumes(spark, tmp_path):
