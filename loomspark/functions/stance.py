@@ -84,9 +84,9 @@ ROOTS = "parkering trafik vej cykel bil bygning areal miljø støj".split()
 
 
 def _java(pattern: str) -> str:
-    r"""``\b`` between ASCII word characters and others only, as in the patterns' own dialect."""
-    begin, end = "(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])", ""
-    return pattern.replace(r"\b", f"(?:{begin}{end})")
+    r"""``\b`` between ASCII word characters and others only, and capitals of all letters, as in the patterns' own dialect."""
+    border = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+    return pattern.replace(r"\b", border).replace("(?i:", "(?iu:")
 
 
 def hits(text: Column, patterns: list[str]) -> Column:
@@ -113,7 +113,7 @@ def stance_prefix(title: Column | str) -> Column:
     title = col(title)
     head = F.trim(F.substring_index(title, ":", 1))
     words = F.split(title, r"\s+")
-    first = F.when(title.rlike(PREFIX) & (F.size(words) >= 2), F.array_join(F.slice(words, 1, 3), " "))
+    first = F.when(title.rlike(_java(PREFIX)) & (F.size(words) >= 2), F.array_join(F.slice(words, 1, 3), " "))
     return F.when(title.contains(":") & (F.length(head) >= 5), head).otherwise(first)
 
 
@@ -204,7 +204,7 @@ def fixed_title(title: Column | str, direction: Column) -> Column:
     title = col(title)
     out = title
     for pattern, noun in reversed(VERBS):
-        out = F.when(title.rlike(pattern), F.regexp_replace(title, pattern, noun)).otherwise(out)
+        out = F.when(title.rlike(_java(pattern)), F.regexp_replace(title, _java(pattern), noun)).otherwise(out)
     out = F.regexp_replace(out, r"/\.?$", "")
     named = F.exists(F.array(*map(F.lit, PREFIXES)), lambda p: F.lower(out).startswith(p))
     worried = F.lower(F.trim(out)).rlike("^(bekymring|frygt|risiko|problem)")

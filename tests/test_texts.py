@@ -1,6 +1,7 @@
 """Text functions, quotes, chunks, models and the stream."""
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
