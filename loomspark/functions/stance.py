@@ -250,3 +250,26 @@ def consequence(text: Column | str) -> dict[str, Column]:
 
 def argument_direction(direction: Column) -> Column:
     return F.when(direction == "pro_change", "support").when(direction == "pro_status_quo", "oppose").otherwise("neutral")
+
+
+#: Patterns of wishes that are conditions or alternatives, and of open support; words that name no object.
+CONDITIONS = [
+    r"\bskal\b.*\b(?:være|have|sikre|tjene|gavne)", r"\bkrav\s+(?:om|til)\b", r"\bforudsætning|forudsat|betingelse", r"\bhvis\b.*\b(?:skal|må|bør)", r"\bønske\s+om\b.*\b(?:at|bedre|mere|grøn)",
+    r"\bbør\s+(?:være|sikre|overholde)", r"\b(?:grøn|bæredygtig|klima)[A-Za-z0-9_]*\s+(?:løsning|valg|tiltag)", r"\bi\s+stedet\s+for\b", r"\bfrem\s+for\b", r"\bikke\b.*\b(?:hotel|hoteludvikling|nybyggeri)",
+]
+SUPPORT = [r"\bstøtter?\b.*\b(?:projekt|forslag|plan)", r"\bpositiv\s+(?:over\s+for|til)", r"\bbakker?\s+op\b", r"\bgod\s+idé\b", r"\bglad\s+for\b", r"\benig\s+i\b"]
+NO_OBJECTS = (
+    "i og af til en et den det de som for med på om er vil kan skal har være der at ikke fra ønske krav modstand bekymring forslag støtte holdning høringssvar høringssvarene respondent borger borgere"
+).split()
+
+
+def is_conditional(text: Column | str) -> Column:
+    """Whether a wish for change is a condition or an alternative, without open support."""
+    text = F.lower(col(text))
+    return (hits(text, CONDITIONS) > 0) & (hits(text, SUPPORT) == 0)
+
+
+def object_words(text: Column | str) -> Column:
+    """The first ten different words of five or more characters that may name an object."""
+    words = F.split(F.lower(col(text)), r"""[\s,.\-:;()"']+""")
+    return F.slice(F.array_distinct(F.filter(words, lambda w: (F.length(w) > 4) & ~w.isin(NO_OBJECTS))), 1, 10)

@@ -207,3 +207,28 @@ def theme_concurrency(positions: Column, base: Column) -> Column:
     return F.when(positions < 15, F.least(F.lit(30), F.floor(base * 1.5 + 0.5))).when(positions < 40, base).when(positions < 100, F.greatest(F.lit(8), F.floor(base * 0.7 + 0.5))).otherwise(
         F.greatest(F.lit(5), F.floor(base * 0.5 + 0.5))
     ).cast("long")
+
+
+#: Embedding calls at once by responses (up to); tries, texts in a batch, pause in milliseconds and tries of a
+#: batch by responses (below); themes that take what fits nowhere.
+CALLS = ([(20, 8), (100, 5), (300, 4)], 3)
+RETRIES = {
+    "attempts": ([(100, 4), (500, 5), (1000, 6)], 8), "batch": ([(100, 50), (500, 40), (1000, 30)], 25), "pause": ([(100, 200), (500, 300), (1000, 400)], 500), "batch_tries": ([(100, 3), (500, 4), (1000, 5)], 6),
+}
+CATCH_ALL = ["Andre emner", "Generelt"]
+
+
+def embedding_calls(responses: Column, themes: Column) -> dict[str, Column]:
+    """Embedding calls at once over all, and for each theme: one less, but two, where more than five themes run side by side."""
+    calls = banded(responses, *CALLS)
+    calls = F.when(F.least(themes, F.lit(10)) > 5, F.greatest(F.lit(2), calls - 1)).otherwise(calls)
+    return {"calls": calls, "theme_calls": F.least(F.lit(3), F.ceil(calls / 2)).cast("int")}
+
+
+def embedding_retries(responses: Column) -> dict[str, Column]:
+    return {name: below(responses, *table) for name, table in RETRIES.items()}
+
+
+def theme_threshold(theme: Column, threshold: Column) -> Column:
+    """A theme that takes what fits nowhere merges more readily."""
+    return F.when(theme.isin(CATCH_ALL), F.greatest(F.lit(0.72), threshold - 0.06)).otherwise(threshold)

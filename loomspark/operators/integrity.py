@@ -138,3 +138,23 @@ def shared_substance(rows: DataFrame, key: str, ref: str, vectors: DataFrame, ve
     v = lambda n: vectors.select(F.col(key).alias(f"key_{n}"), F.col(vector).alias(f"__v{n}"))
     out = pairs.join(v(1), "key_1").join(v(2), "key_2").withColumn("sim", cosine(F.col("__v1"), F.col("__v2")))
     return out.where((F.col("sim") >= least) & (F.col("sim") < below)).select("key_1", "key_2", "shared", "sim")
+
+
+def object_counts(rows: DataFrame, group: str, name: str) -> DataFrame:
+    """group, name (null for arguments without an object), n."""
+    return rows.groupBy(group, F.nullif(F.col(name), F.lit("")).alias(name)).agg(F.count("*").alias("n"))
+
+
+def first_references(rows: DataFrame, group: str, key: list[str], order: str) -> DataFrame:
+    """Each group's references once, by ``key``, with the first place of each."""
+    return rows.groupBy(group, *key).agg(F.min(order).alias(order))
+
+
+def next_citation(registry: DataFrame, citation: str, prefix: str) -> DataFrame:
+    """One row, next: the number after the largest that an id of the registry has; 1 for none."""
+    return registry.agg((F.coalesce(F.max(F.regexp_extract(citation, f"^{prefix}([0-9]+)$", 1).try_cast("long")), F.lit(0)) + 1).alias("next"))
+
+
+def cache_key(*fields: Column) -> Column:
+    """SHA-256 of what decides a model's answer, as JSON."""
+    return F.sha2(F.to_json(F.struct(*[f.alias(f"f{i}") for i, f in enumerate(fields)])), 256)

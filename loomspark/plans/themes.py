@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspark.functions import arguments as A
-from loomspark.operators import graph, themes as M
+from loomspark.functions import stance as S
+from loomspark.functions import tuning as P
+from loomspark.operators import graph
+from loomspark.operators import integrity as I
+from loomspark.operators import themes as M
 from loomspark.plans.registry import query
-from loomspark.plans.stance import _T, TITLES, titled
-from loomspark.plans.tuning import pick
+from loomspark.plans.stance import _T, _hits, titled
+from loomspark.plans.tuning import _RUNS, pick, runs
 from loomspark.sources.tables import checkpointed, read
 
 THEMES = [
@@ -114,3 +118,50 @@ def executed_merges(spark, d):
     edges = nodes.where("id % 4 > 1").join(nodes.select((F.col("id") - 1).alias("before")), F.col("id") == F.col("before")).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     found = graph.components(nodes, edges, "id").withColumnRenamed("component", "position")
     return found.join(members, "id").groupBy("position").agg(F.count_distinct("id").alias("merged"), F.count_distinct("s").alias("members"))
+
+
+_TEXT = "lower(title || ' ' || consequence)"
+
+
+@query("conditional_arguments", f"WITH {_T} SELECT id, {_hits(_TEXT, S.CONDITIONS)} > 0 AND {_hits(_TEXT, S.SUPPORT)} = 0 AS conditional FROM t")
+def conditional_arguments(spark, d):
+    return titled(spark, d).select("id", S.is_conditional(F.concat_ws(" ", "title", "consequence")).alias("conditional"))
+
+
+@query("object_words", rf"""WITH {_T} SELECT id, array_to_string(list_filter(string_split_regex(lower(summary), '[\s,.\-:;()"'']+'), lambda w: length(w) > 4 AND NOT list_contains({S.NO_OBJECTS}, w))[:10], ',') AS words FROM t""")
+def object_words(spark, d):
+    return titled(spark, d).select("id", F.array_join(S.object_words("summary"), ",").alias("words"))
+
+
+@query("object_counts", f"WITH {_T} SELECT theme, nullif(consequence, '') AS object, count(*) AS n FROM t GROUP BY ALL")
+def object_counts(spark, d):
+    return I.object_counts(titled(spark, d).withColumnRenamed("consequence", "object"), "theme", "object")
+
+
+@query("first_references", "SELECT l_suppkey, l_returnflag, l_linestatus, min(l_orderkey) AS l_orderkey FROM lineitem GROUP BY 1, 2, 3")
+def first_references(spark, d):
+    return I.first_references(read(spark, d, "lineitem"), "l_suppkey", ["l_returnflag", "l_linestatus"], "l_orderkey")
+
+
+@query("next_citation", "SELECT max(CAST(regexp_extract(c_name, '^Customer#([0-9]+)$', 1) AS BIGINT)) + 1 AS next FROM customer")
+def next_citation(spark, d):
+    return I.next_citation(read(spark, d, "customer"), "c_name", "Customer#")
+
+
+@query("cache_keys", """SELECT conv_id, turn, sha256('{"f0":"' || role || '","f1":' || turn || '}') AS key FROM conversations""")
+def cache_keys(spark, d):
+    return read(spark, d, "conversations").select("conv_id", "turn", I.cache_key(F.col("role"), F.col("turn")).alias("key"))
+
+
+@query("embedding_calls", f"""WITH {_RUNS}, c AS (SELECT id, themes, responses, CASE WHEN responses <= 20 THEN 8 WHEN responses <= 100 THEN 5 WHEN responses <= 300 THEN 4 ELSE 3 END AS c FROM s), e AS (SELECT *, CASE WHEN themes > 5 THEN greatest(2, c - 1) ELSE c END AS calls FROM c)
+SELECT id, calls, least(3, CAST(ceil(calls / 2) AS INT)) AS theme_calls, CASE WHEN responses < 100 THEN 4 WHEN responses < 500 THEN 5 WHEN responses < 1000 THEN 6 ELSE 8 END AS attempts, CASE WHEN responses < 100 THEN 50 WHEN responses < 500 THEN 40 WHEN responses < 1000 THEN 30 ELSE 25 END AS batch,
+ CASE WHEN responses < 100 THEN 200 WHEN responses < 500 THEN 300 WHEN responses < 1000 THEN 400 ELSE 500 END AS pause, CASE WHEN responses < 100 THEN 3 WHEN responses < 500 THEN 4 WHEN responses < 1000 THEN 5 ELSE 6 END AS batch_tries FROM e""")
+def embedding_calls(spark, d):
+    found = {**P.embedding_calls(F.col("responses"), F.col("themes")), **P.embedding_retries(F.col("responses"))}
+    return runs(spark, d).select("id", *[c.alias(n) for n, c in found.items()])
+
+
+@query("theme_thresholds", "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 < 2 THEN greatest(CAST(0.72 AS DOUBLE), CAST(0.7 AS DOUBLE) + CAST(p_partkey % 20 AS DOUBLE) / 100 - CAST(0.06 AS DOUBLE)) ELSE CAST(0.7 AS DOUBLE) + CAST(p_partkey % 20 AS DOUBLE) / 100 END AS threshold FROM part")
+def theme_thresholds(spark, d):
+    p = F.col("p_partkey")
+    return read(spark, d, "part").select(p.alias("id"), P.theme_threshold(pick(["Andre emner", "Generelt", "Parkering"], "p_partkey"), F.lit(0.7) + (p % 20).cast("double") / 100).alias("threshold"))
