@@ -35,7 +35,10 @@ def copy_groups(spark, d):
     return dedupe.copy_groups(read(spark, d, "documents"), "doc_id", "text")
 
 
-@query("edit_log_fold")
+@query("edit_log_fold", """WITH m AS (SELECT DISTINCT conv_id AS draft, turn FROM conversations WHERE turn % 3 = 0 AND turn % 2 <> 1),
+r AS (SELECT DISTINCT conv_id AS draft, role, turn FROM conversations)
+SELECT draft, 'talk' AS theme, role AS title, coalesce(list(r.turn ORDER BY r.turn) FILTER (WHERE m.turn IS NULL), []) AS members FROM r LEFT JOIN m USING (draft, turn) GROUP BY draft, role
+UNION ALL SELECT draft, 'other', 'no opinion', list(turn ORDER BY turn) FROM m GROUP BY draft""")
 def edit_log_fold(spark, d):
     rows = read(spark, d, "conversations")
     start = rows.groupBy(F.col("conv_id").alias("draft"), F.lit("talk").alias("theme"), F.col("role").alias("title")).agg(F.array_sort(F.collect_set("turn")).alias("members"))
