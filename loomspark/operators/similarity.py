@@ -32,17 +32,19 @@ def cosine_pairs(rows: DataFrame, id_col: str, vector: str, least: float | None
 PAIR_BLOCK = 1024
 
 
-def all_pairs(rows: DataFrame, id_col: str, vector: str, least: float | None = None) -> DataFrame:
+def all_pairs(rows: DataFrame, id_col: str, vector: str, least: float | None = None, by: str | None = None) -> DataFrame:
     """i, j, sim for all i < j whose cosine reaches ``least``: every pair is looked at, as products of blocks of vectors.
 
-    Rows are dealt to n / ``PAIR_BLOCK`` parts by a hash, and each two parts meet in a task of its own, so no task holds more
-    than two parts. Ids are longs; rows without a vector, or with one of another width than the block's, make no pair.
+    With ``by``, pairs have an equal value of it (not null). The n rows of each value are dealt to n / ``PAIR_BLOCK`` parts by a
+    hash, and each two parts meet in a task of their own, so no task holds more than two parts, however common a value is.
+    Ids are longs; rows without a vector, or with one of another width than the block's, make no pair.
     """
-    rows = checkpointed(rows.where(F.col(vector).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v")))
-    parts = max(1, -(-rows.count() // PAIR_BLOCK))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("other")
-    cells = rows.select("id", "v", "part", other).select("id", "v", "part", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
+    one = (F.lit(0) if by is None else F.col(by)).alias("by")
+    rows = checkpointed(rows.where(F.col(vector).isNotNull() & F.col(id_col).isNotNull()).select(one, F.col(id_col).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v")))
+    parts = rows.groupBy("by").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("parts"))
+    rows = rows.join(parts, "by").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    cells = rows.select("by", "id", "v", "part", other).select("by", "id", "v", "part", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
 
     def run(cell: pa.Table) -> pa.Table:
         groups: dict[int, list[int]] = {}
@@ -70,7 +72,7 @@ def all_pairs(rows: DataFrame, id_col: str, vector: str, least: float | None = N
         one = lambda x, kind: np.concatenate(x).astype(kind) if x else np.array([], kind)
         return pa.table({"i": one(i, np.int64), "j": one(j, np.int64), "sim": one(sim, np.float64)})
 
-    return cells.groupBy("a", "b").applyInArrow(run, "i long, j long, sim double")
+    return cells.groupBy("by", "a", "b").applyInArrow(run, "i long, j long, sim double")
 
 
 def tables_for(least: float, planes: int, recall: float) -> int:
