@@ -67,21 +67,18 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
-        # The trie: node 0 is the root; by 256 * node + byte, the child; by node, the token that ends there if any.
-        self.child: dict[int, int] = {}
-        self.token_at: list[int | None] = [None]
-        inner = set()
+        # The trie: by node (0 is the root) and byte, the token that ends there, if any, and the node after; 0 where no token goes on.
+        self.kids: list[dict[int, tuple[int | None, int]]] = [{}]
         for token, rank in ranks.items():
             node = 0
-            for byte in token:
-                inner.add(node)
-                after = self.child.get(256 * node + byte)
-                if after is None:
-                    after = self.child[256 * node + byte] = len(self.token_at)
-                    self.token_at.append(None)
+            for byte in token[:-1]:
+                ended, after = self.kids[node].get(byte, (None, 0))
+                if not after:
+                    after = len(self.kids)
+                    self.kids.append({})
+                    self.kids[node][byte] = (ended, after)
                 node = after
-            self.token_at[node] = rank
-        self.has_children = [n in inner for n in range(len(self.token_at))]
+            self.kids[node][token[-1]] = (rank, self.kids[node].get(token[-1], (None, 0))[1])
         # Tokens that begin, or end, a merge of two: parts that do neither can be left out of a check.
         cuts = [(t[:i], t[i:]) for t in ranks for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.begins, self.ends = {x for x, _ in cuts}, {y for _, y in cuts}
@@ -162,32 +159,33 @@ class Transducer:
                     return False
         return True
 
-    def after(self, last: int | None, live, byte: int) -> list[tuple[tuple[int, ...], int]]:
-        """The hypotheses after a byte; the last of them holds the encoding so far."""
-        found, ended = [], None
-        child, token_at, has_children, pairs = self.child.get, self.token_at, self.has_children, self.pairs.get
-        for pending, node in live:
-            node = child(256 * node + byte)
-            if node is None:
-                continue
-            if ended is None:
-                token = token_at[node]
-                if token is not None:
+    def after(self, last: int | None, live, tail) -> list[tuple[tuple[int, ...], int]]:
+        """The hypotheses after some bytes; the last of them holds the encoding so far."""
+        kids, pairs = self.kids, self.pairs.get
+        for byte in tail:
+            found, ended = [], None
+            for pending, node in live:
+                next_ = kids[node].get(byte)
+                if next_ is None:
+                    continue
+                token, node = next_
+                if ended is None and token is not None:
                     before = pending[-1] if pending else last
                     apart = pairs((before, token))
                     if self.stay_apart(before, token) if apart is None else apart:
                         ended = (*pending, token)
-            if has_children[node]:
-                found.append((pending, node))
-        if ended is None:
-            raise ValueError(f"the vocabulary has no token for byte {byte}")
-        found.append((ended, 0))
-        return found
+                if node:
+                    found.append((pending, node))
+            if ended is None:
+                raise ValueError(f"the vocabulary has no token for byte {byte}")
+            found.append((ended, 0))
+            live = found
+        return live
 
     def step(self, state: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
         """A transition worked out: the state after a byte, and the tokens that it emits."""
         last, live = state
-        found = self.after(last, live, byte)
+        found = self.after(last, live, (byte,))
         ended = found[-1][0]
         same = 0
         shortest = min(len(p) for p, _ in found)
@@ -218,12 +216,11 @@ class Transducer:
         else:
             return out + [*self.states[number][1][-1][0]]
         last, live = self.states[number]
-        for at in range(at, size):
-            if size > LONGEST_KEPT:  # emits as it goes, so that a long piece costs in proportion to its length
-                (last, live), emitted = self.step((last, live), piece[at])
-                out += emitted
-            else:
-                live = self.after(last, live, piece[at])
+        if size <= LONGEST_KEPT:
+            return out + [*self.after(last, live, piece[at:])[-1][0]]
+        for byte in piece[at:]:  # emits as it goes, so that a long piece costs in proportion to its length
+            (last, live), emitted = self.step((last, live), byte)
+            out += emitted
         return out + [*live[-1][0]]
 
 
