@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomspark.operators import integrity as I
 from loomspark.plans.registry import query
 from loomspark.plans.tuning import pick
-from loomspark.sources.tables import read
+from loomspark.sources.tables import placed, read
 
 NOTES = ["Gruppen omfatter alle", "ok", "Citatuddrag er ikke indsat her", "deludkast 2", "god"]
 MARKS = ["a <<REF_1>><<REF_2>> b", "a <<REF_1>> b <<REF_2>>", "a <<REF_3>> c", "none", "<<REF_1>> <<REF_1>>"]
@@ -50,8 +50,8 @@ def sub_position_issues(spark, d):
 
 @query("tracked_members", "SELECT l_suppkey AS member, arg_max(l_partkey, (l_orderkey, l_linenumber)) AS position, count(DISTINCT l_partkey) AS positions FROM lineitem GROUP BY 1")
 def tracked_members(spark, d):
-    rows = read(spark, d, "lineitem").withColumnsRenamed({"l_suppkey": "member", "l_partkey": "position"})
-    return I.tracked(rows, "member", "position", ["l_orderkey", "l_linenumber"])
+    rows = placed(read(spark, d, "lineitem"), "place").withColumnsRenamed({"l_suppkey": "member", "l_partkey": "position"})
+    return I.tracked(rows, "member", "position", ["l_orderkey", "l_linenumber"], "place")
 
 
 @query("merge_history", """SELECT l_partkey AS source, arg_max(l_suppkey, (l_orderkey, l_linenumber)) AS target, max(merged) AS merged FROM lineitem JOIN (SELECT l_suppkey AS t, count(*) AS merged FROM lineitem GROUP BY 1)

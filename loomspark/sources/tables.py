@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Used only on one machine, where the session names no folder.
@@ -19,6 +20,14 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def placed(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` of Parquet files with ``name``, a decimal that grows with the row's place: by path of the file, then row of the file."""
+    paths = rows.select(F.col("_metadata.file_path").alias("__path")).distinct()
+    files = paths.withColumn("__file", F.row_number().over(Window.orderBy("__path")))  # a row for each file
+    place = (F.col("__file").cast("decimal(10,0)") * F.lit(2**40) + F.col("__row")).cast("decimal(38,0)")
+    return rows.withColumns({"__path": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")}).join(F.broadcast(files), "__path").withColumn(name, place).drop("__path", "__file", "__row")
+
+
 def register(spark: SparkSession, folder: str) -> None:
     """All tables of a folder as temporary views."""
     for name in NAMES:
