@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -146,21 +146,64 @@ def outliers(rows: DataFrame, id_col: str, group: str, vector: str, spread: floa
     return sims.join(facts, group).select(id_col, group, F.round("sim", 6).alias("sim"), (F.col("sim") < F.col("m") - spread * F.col("sd")).alias("outlier"))
 
 
-def kmeans(rows: DataFrame, id_col: str, vector: str, k: int, most_rounds: int = 50) -> DataFrame:
-    """id, cluster: Lloyd's rounds from the first k vectors; ties to the smaller cluster; an empty cluster stays."""
-    cents = {i: list(map(float, r[vector])) for i, r in enumerate(rows.orderBy(id_col).select(vector).limit(k).collect())}
-    points = checkpointed(rows.select(id_col, vector))
-    for _ in range(most_rounds):
-        lit = F.array(*[F.struct(F.lit(i).alias("c"), F.array(*map(F.lit, v)).alias("v")) for i, v in cents.items()])
-        dist = F.transform(lit, lambda c: F.struct(F.aggregate(F.zip_with(F.col(vector), c["v"], lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x).alias("d"), c["c"].alias("c")))
-        labelled = points.select(id_col, vector, F.array_min(dist)["c"].alias("cluster"))
-        new = {r["cluster"]: r["centroid"] for r in centroids(labelled, ["cluster"], vector).collect()}  # k rows
-        moved = {**cents, **new}
-        same = all(np.allclose(moved[i], cents[i], atol=1e-9) for i in cents)
-        cents = moved
-        if same:
-            return labelled.select(id_col, "cluster")
-    raise RuntimeError(f"clusters still move after {most_rounds} rounds")
+def kmeans(rows: DataFrame, id_col: str, vector: str, k: int) -> DataFrame:
+    """id, cluster: Lloyd's rounds from the first k vectors; ties to the smaller cluster; an empty cluster stays.
+
+    Rounds go on until no centroid moves, or until moves no longer lessen the squared distances (then only rounding is left); each
+    lessens them, so they end. A round brings k sums from each task. Vectors that are null, hold null or non-finite values or have
+    another width than the first have no cluster.
+    """
+    first = rows.where(_finite(vector)).orderBy(id_col).select(vector).limit(k).collect()
+    width = len(first[0][vector]) if first else 0
+    cents = np.array([r[vector] for r in first if len(r[vector]) == width], float).reshape(-1, width)
+    good = _finite(vector) & (F.size(vector) == width)
+    points = checkpointed(rows.where(good).select(F.transform(vector, lambda x: x.cast("double")).alias("v")))
+
+    def nearest_of(column: pa.Array, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        v = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
+        dist = np.stack([((v - c) ** 2).sum(axis=1) for c in at], axis=1)
+        return v, dist.argmin(axis=1), dist.min(axis=1)
+
+    def sums(at: np.ndarray):
+        def run(batches):
+            n, total, dist = np.zeros(len(at), np.int64), np.zeros(at.shape), np.zeros(len(at))
+            for batch in batches:
+                v, own, d = nearest_of(batch.column(0), at)
+                n += np.bincount(own, minlength=len(at))
+                dist += np.bincount(own, d, minlength=len(at))
+                for c in range(len(at)):
+                    total[c] += v[own == c].sum(axis=0)
+            yield pa.RecordBatch.from_pydict({"c": pa.array(range(len(at)), pa.int32()), "n": n, "total": pa.array(total.tolist(), pa.list_(pa.float64())), "dist": dist})
+
+        return run
+
+    least = np.inf
+    while len(cents):
+        n, total, dist = np.zeros(len(cents), np.int64), np.zeros(cents.shape), 0.0
+        for r in points.mapInArrow(sums(cents), "c int, n long, total array<double>, dist double").collect():  # k rows of each task
+            n[r["c"]] += r["n"]
+            total[r["c"]] += r["total"]
+            dist += r["dist"]
+        moved = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], cents)
+        if np.allclose(moved, cents, rtol=0, atol=1e-9) or dist >= least:
+            break
+        cents, least = moved, dist
+
+    def label(batches):
+        for batch in batches:
+            fits = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            own = np.zeros(len(fits), np.int32)
+            if fits.any():
+                own[fits] = nearest_of(batch.column(1).drop_null(), cents)[1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, mask=~fits)], ["id", "cluster"])
+
+    kept = rows.select(F.col(id_col).alias("id"), F.when(good, F.transform(vector, lambda x: x.cast("double"))).alias("v"))
+    return kept.mapInArrow(label, f"id {rows.schema[id_col].dataType.simpleString()}, cluster int").withColumnRenamed("id", id_col)
+
+
+def _finite(vector: str) -> Column:
+    """Whether a vector is there and all its components are numbers."""
+    return F.coalesce(F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))), F.lit(False))
 
 
 def farthest_points(rows: DataFrame, group: list[str], id_col: str, vector: str, most: int = 40) -> DataFrame:

@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from loomspark.operators import similarity
 from loomspark.plans import registry
 
 
@@ -29,3 +30,15 @@ def test_tracked_members_with_ties(spark, tmp_path, files):
         rows.iloc[part].to_parquet(tmp_path / "lineitem.parquet" / f"part-{k}.parquet", index=False)
     mine, want = against_sql(spark, tmp_path, "tracked_members")
     assert mine == want and len(want) == 40
+
+
+def test_kmeans_goes_on_until_nothing_moves(spark):
+    n = 4000
+    v = np.sort(np.random.default_rng(2).exponential(size=n)) ** 3
+    rows = [(i, [float(x)]) for i, x in enumerate(v)] + [(n, None), (n + 1, [1.0, 2.0]), (n + 2, [float("nan")]), (n + 3, [None])]
+    got = {r["id"]: r["cluster"] for r in similarity.kmeans(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", 6).collect()}
+    cents, rounds, own = v[:6].copy(), 0, None
+    while own is None or (own != (now := ((v[:, None] - cents) ** 2).argmin(axis=1))).any():
+        own = ((v[:, None] - cents) ** 2).argmin(axis=1)
+        cents, rounds = np.array([v[own == c].mean() if (own == c).any() else cents[c] for c in range(6)]), rounds + 1
+    assert rounds > 50 and got == dict(enumerate(own)) | dict.fromkeys(range(n, n + 4))
