@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,6 +13,8 @@ from pyspark.sql.window import Window
 from loomspark.functions.vectors import centroids, cosine, norm
 from loomspark.sources.tables import checkpointed
 
+Strips = Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]
+
 
 def cosine_pairs(rows: DataFrame, id_col: str, vector: str, least: float | None = None, by: list[str] | None = None) -> DataFrame:
     """i, j, sim for i < j, within blocks of equal ``by`` where given. Norms are computed once per row.
@@ -28,51 +32,64 @@ def cosine_pairs(rows: DataFrame, id_col: str, vector: str, least: float | None
     return pairs if least is None else pairs.where(F.col("sim") >= least)
 
 
-#: Rows on either side of a block of pairs.
-PAIR_BLOCK = 1024
+#: Rows on either side of a block of pairs, and rows whose products are held at once.
+PAIR_BLOCK, PAIR_STRIP = 4096, 256
 
 
-def all_pairs(rows: DataFrame, id_col: str, vector: str, least: float | None = None, by: str | None = None) -> DataFrame:
-    """i, j, sim for all i < j whose cosine reaches ``least``: every pair is looked at, as products of blocks of vectors.
+def _blocks(rows: DataFrame, id_col: str, vector: str, by: str | None, fold: Callable[[Strips], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``fold`` of each block's strips (i, j and sim as arrays, for pairs of ids that differ): every pair is in one block, once.
 
-    With ``by``, pairs have an equal value of it (not null). The n rows of each value are dealt to n / ``PAIR_BLOCK`` parts by a
-    hash, and each two parts meet in a task of their own, so no task holds more than two parts, however common a value is.
-    Ids are longs; rows without a vector, or with one of another width than the block's, make no pair.
+    The n rows of each value of ``by`` are dealt to n / ``PAIR_BLOCK`` parts by a hash, and each two parts meet in a task of their
+    own, so no task holds more than two parts, however common a value is. A strip has at most ``PAIR_STRIP`` rows of one part.
     """
     one = (F.lit(0) if by is None else F.col(by)).alias("by")
-    rows = checkpointed(rows.where(F.col(vector).isNotNull() & F.col(id_col).isNotNull()).select(one, F.col(id_col).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v")))
+    kind = "float" if rows.schema[vector].dataType.simpleString() == "array<float>" else "double"
+    rows = checkpointed(rows.where(F.col(vector).isNotNull() & F.col(id_col).isNotNull()).select(one, F.col(id_col).cast("long").alias("id"), F.transform(vector, lambda x: x.cast(kind)).alias("v")))
     parts = rows.groupBy("by").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("parts"))
     rows = rows.join(parts, "by").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     cells = rows.select("by", "id", "v", "part", other).select("by", "id", "v", "part", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
 
-    def run(cell: pa.Table) -> pa.Table:
-        groups: dict[int, list[int]] = {}
-        values = cell.column("v").to_pylist()
-        for n, v in enumerate(values):
-            if all(x is not None for x in v):
-                groups.setdefault(len(v), []).append(n)
-        ids, part = cell.column("id").to_numpy(), cell.column("part").to_numpy()
+    def strips(cell: pa.Table) -> Strips:
+        v, part, all_ids = cell.column("v").combine_chunks(), cell.column("part").to_numpy(), cell.column("id").to_numpy()
+        flat, ends = v.flatten(), np.cumsum([0, *v.value_lengths().to_numpy()])
+        lost = np.cumsum([0, *flat.is_null().to_numpy(zero_copy_only=False)])
+        whole, width = lost[ends[1:]] == lost[ends[:-1]], np.diff(ends)
+        flat = flat.to_numpy(zero_copy_only=False)
         own = cell.column("a")[0].as_py() == cell.column("b")[0].as_py()
-        i, j, sim = [], [], []
-        for at in groups.values():
-            m = np.array([values[n] for n in at], float).reshape(len(at), -1)
+        for size in np.unique(width[whole]):
+            at = np.flatnonzero(whole & (width == size))
+            m = flat[ends[at][:, None] + np.arange(size)].astype(float)
             m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
             here, there = (np.arange(len(at)),) * 2 if own else (np.flatnonzero(part[at] == part.min()), np.flatnonzero(part[at] != part.min()))
-            found = m[here] @ m[there].T
-            x, y = ids[at][here][:, None], ids[at][there][None, :]
+            ids, others = all_ids[at][here], all_ids[at][there]
+            for k in range(0, len(here), PAIR_STRIP):
+                yield ids[k : k + PAIR_STRIP], others, m[here[k : k + PAIR_STRIP]] @ m[there].T, own
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fold(strips(pa.Table.from_batches(list(batches))))
+
+    return cells.groupBy("by", "a", "b").applyInArrow(run, schema)
+
+
+def all_pairs(rows: DataFrame, id_col: str, vector: str, least: float | None = None, by: str | None = None) -> DataFrame:
+    """i, j, sim for all i < j whose cosine reaches ``least``: every pair is looked at, as products of blocks of vectors.
+
+    With ``by``, pairs have an equal value of it (not null). Pairs leave a task strip by strip, see :func:`_blocks`. Ids are longs;
+    rows without a vector, or with one of another width than the block's, make no pair.
+    """
+
+    def fold(strips: Strips) -> Iterator[pa.RecordBatch]:
+        for ids, others, sim, own in strips:
+            x, y = ids[:, None], others[None, :]
             keep = (x < y) if own else (x != y)
             if least is not None:
-                keep = keep & (found >= least)
+                keep &= sim >= least
             r, c = np.nonzero(keep)
-            left, right = ids[at][here][r], ids[at][there][c]
-            i.append(np.minimum(left, right))
-            j.append(np.maximum(left, right))
-            sim.append(found[r, c])
-        one = lambda x, kind: np.concatenate(x).astype(kind) if x else np.array([], kind)
-        return pa.table({"i": one(i, np.int64), "j": one(j, np.int64), "sim": one(sim, np.float64)})
+            left, right = ids[r], others[c]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right)), pa.array(sim[r, c])], ["i", "j", "sim"])
 
-    return cells.groupBy("by", "a", "b").applyInArrow(run, "i long, j long, sim double")
+    return _blocks(rows, id_col, vector, by, fold, "i long, j long, sim double")
 
 
 def tables_for(least: float, planes: int, recall: float) -> int:
@@ -109,23 +126,67 @@ def lsh_pairs(rows: DataFrame, id_col: str, vector: str, least: float, planes: i
     return full.select("i", "j", cosine(F.col("v_i"), F.col("v_j")).alias("sim")).where(F.col("sim") >= least)
 
 
-def distribution(pairs: DataFrame, digits: int = 6) -> DataFrame:
-    """n, mean, std, median, p10, p90 (by floor index of the sorted values) and diversity, one row.
+def distribution(rows: DataFrame, id_col: str, vector: str, digits: int = 6) -> DataFrame:
+    """n, mean, std, median, p10, p90 (by floor index of the sorted cosines of all pairs) and diversity, one row.
 
-    Places are ranks of a sort, found without gathering the values: each wanted rank is one row of the ranked pairs.
+    Pairs are not stored: blocks give their moments and counts of coarse bins, then counts of values rounded to ``digits`` within
+    the bins of the wanted places. Rounding keeps the order, so the rounded value at a place is the place's value, rounded.
     """
-    facts = pairs.agg(F.count("*").alias("n"), F.avg("sim").alias("m"), F.stddev_pop("sim").alias("sd")).first()
-    n = facts["n"]
-    wanted = {"median": int(n * 0.5), "p10": int(n * 0.1), "p90": int(n * 0.9)}
-    spark = pairs.sparkSession
-    found = {}
+    coarse = 10 ** max(0, digits - 3)
+    key = lambda sim: np.where(np.isnan(sim), 2 * 10**digits, np.sign(sim) * np.floor(np.abs(sim) * 10**digits + 0.5)).astype(np.int64)
+
+    def values(strips: Strips) -> Iterator[np.ndarray]:
+        for ids, others, sim, own in strips:
+            yield sim[(ids[:, None] < others[None, :]) if own else (ids[:, None] != others[None, :])]
+
+    def batch(total: dict[int, int], **moments: float) -> pa.RecordBatch:
+        filled = {name: np.array([x] + [0.0] * len(total)) for name, x in moments.items()}
+        return pa.RecordBatch.from_pydict({"bin": pa.array([None, *total], pa.int64()), "n": pa.array([0, *total.values()], pa.int64()), **filled})
+
+    def first(strips: Strips) -> Iterator[pa.RecordBatch]:
+        total: dict[int, int] = {}
+        mass, square, apart = 0.0, 0.0, 0.0
+        for sim in values(strips):
+            if len(sim):
+                mean = sim.mean()
+                mass, square, apart = mass + len(sim) * mean, square + len(sim) * mean * mean, apart + float(((sim - mean) ** 2).sum())
+                for k, n in zip(*np.unique(key(sim) // coarse, return_counts=True)):
+                    total[int(k)] = total.get(int(k), 0) + int(n)
+        yield batch(total, mass=mass, square=square, apart=apart)
+
+    def second(bins: list[int]):
+        def fold(strips: Strips) -> Iterator[pa.RecordBatch]:
+            total: dict[int, int] = {}
+            for sim in values(strips):
+                k = key(sim)
+                for x, n in zip(*np.unique(k[np.isin(k // coarse, bins)], return_counts=True)):
+                    total[int(x)] = total.get(int(x), 0) + int(n)
+            yield batch(total)
+
+        return fold
+
+    schema = "bin long, n long"
+    found = checkpointed(_blocks(rows, id_col, vector, None, first, f"{schema}, mass double, square double, apart double").groupBy("bin").agg(*[F.sum(c).alias(c) for c in ("n", "mass", "square", "apart")]))
+    facts = found.where("bin is null").select("mass", "square", "apart").first()
+    counts = sorted(map(tuple, found.where("bin is not null").select("bin", "n").collect()))  # bins of -1 to 1, some thousands
+    n = sum(c for _, c in counts)
+    row = (0, *[None] * 6)
     if n:
-        # percentile_disc gives the element at ceil(n p), so p is taken between the element before and the one wanted.
-        aggs = [F.expr(f"percentile_disc({min(1.0, (k + 0.5) / n)}D) WITHIN GROUP (ORDER BY sim)").alias(name) for name, k in wanted.items()]
-        found = pairs.agg(*aggs).first().asDict()
-    r = lambda x: None if x is None else float(x)
-    row = (n, r(facts["m"]), r(facts["sd"]), r(found.get("median")), r(found.get("p10")), r(found.get("p90")), None if facts["m"] is None else 1 - facts["m"])
-    out = spark.createDataFrame([row], "n long, mean double, std double, median double, p10 double, p90 double, diversity double")
+        places = [int(n * p) for p in (0.5, 0.1, 0.9)]
+        ends = np.cumsum([c for _, c in counts])
+        holds = [int(np.searchsorted(ends, p, side="right")) for p in places]
+        bins = sorted({counts[h][0] for h in holds})
+        fine = sorted(map(tuple, _blocks(rows, id_col, vector, None, second(bins), schema).where("bin is not null").groupBy("bin").agg(F.sum("n")).collect()))
+        at = []
+        for place, h in zip(places, holds):
+            inside = [(x, c) for x, c in fine if x // coarse == counts[h][0]]
+            rest = place - int(ends[h] - counts[h][1])
+            x = inside[int(np.searchsorted(np.cumsum([c for _, c in inside]), rest, side="right"))][0]
+            at.append(float("nan") if x == 2 * 10**digits else x / 10**digits)
+        mean = facts["mass"] / n
+        spread = float(np.sqrt(max(0.0, (facts["apart"] + facts["square"] - n * mean * mean) / n)))
+        row = (n, mean, spread, *at, 1 - mean)
+    out = rows.sparkSession.createDataFrame([row], "n long, mean double, std double, median double, p10 double, p90 double, diversity double")
     return out.select("n", *[F.round(c, digits).alias(c) for c in out.columns[1:]])
 
 

@@ -60,7 +60,7 @@ def consultation(responses: DataFrame, query: str, k: int = 10) -> dict[str, Ste
         ),
         "arguments": lambda r: models.extracted(r["load"], "text").select("id", "theme", F.posexplode("arguments").alias("arg_index", "what")),
         "themes": lambda r: aggregation.word_counts(r["arguments"].withColumn("w", F.split("what", " ")), ["theme"], F.col("w"), 5),
-        "stats": lambda r: similarity.distribution(similarity.all_pairs(_keyed(r["embed"]).withColumn("__id", F.xxhash64("chunk_id")), "__id", "embedding")),
+        "stats": lambda r: similarity.distribution(_keyed(r["embed"]).withColumn("__id", F.xxhash64("chunk_id")), "__id", "embedding"),
     }
 
 

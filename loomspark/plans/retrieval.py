@@ -8,7 +8,7 @@ from loomspark.functions.vectors import centroids, cosine
 from loomspark.operators import retrieval as R
 from loomspark.operators import similarity as S
 from loomspark.plans.registry import query
-from loomspark.sources.tables import checkpointed, read
+from loomspark.sources.tables import read
 
 TERMS = ["the", "and", "with", "reth", "nicht", "para"]
 
@@ -97,7 +97,7 @@ SELECT count(*) AS n, round(avg(sim), 6) AS mean, round(stddev_pop(sim), 6) AS s
  round(list_sort(list(sim))[CAST(floor(count(*) * 0.9) AS BIGINT) + 1], 6) AS p90,
  round(1 - avg(sim), 6) AS diversity FROM s""")
 def similarity_distribution(spark, d):
-    return S.distribution(checkpointed(S.all_pairs(read(spark, d, "embeddings"), "vec_id", "embedding")))
+    return S.distribution(read(spark, d, "embeddings"), "vec_id", "embedding")
 
 
 @query("label_centroids", """WITH e AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings)

@@ -42,3 +42,18 @@ def test_kmeans_goes_on_until_nothing_moves(spark):
         own = ((v[:, None] - cents) ** 2).argmin(axis=1)
         cents, rounds = np.array([v[own == c].mean() if (own == c).any() else cents[c] for c in range(6)]), rounds + 1
     assert rounds > 50 and got == dict(enumerate(own)) | dict.fromkeys(range(n, n + 4))
+
+
+@pytest.mark.parametrize("size, strip", [(4096, 256), (40, 7)])
+def test_distribution_without_stored_pairs(spark, monkeypatch, size, strip):
+    monkeypatch.setattr(similarity, "PAIR_BLOCK", size)
+    monkeypatch.setattr(similarity, "PAIR_STRIP", strip)
+    monkeypatch.setattr(similarity, "all_pairs", None)
+    v = np.random.default_rng(9).normal(size=(150, 5))
+    v[100:] = v[0]
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    sims = np.sort((unit @ unit.T)[np.triu_indices(150, 1)])
+    want = [len(sims), sims.mean(), sims.std(), *[sims[int(len(sims) * p)] for p in (0.5, 0.1, 0.9)], 1 - sims.mean()]
+    d = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)] + [(900, None)], "id long, v array<double>")
+    assert np.allclose(list(similarity.distribution(d, "id", "v").first()), want, atol=1.1e-6)
+    assert list(similarity.distribution(d.where("id = 1"), "id", "v").first()) == [0, *[None] * 6]
