@@ -36,7 +36,7 @@ def cosine_pairs(rows: DataFrame, id_col: str, vector: str, least: float | None
 PAIR_BLOCK, PAIR_STRIP = 4096, 256
 
 
-def _blocks(rows: DataFrame, id_col: str, vector: str, by: str | None, fold: Callable[[Strips], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def _blocks(rows: DataFrame, id_col: str, vector: str, by: str | None, fold: Callable[[Strips], Iterator[pa.RecordBatch]], schema: str, undefined: bool = False) -> DataFrame:
     """``fold`` of each block's strips (i, j and sim as arrays, for pairs of ids that differ): every pair is in one block, once.
 
     The n rows of each value of ``by`` are dealt to n / ``PAIR_BLOCK`` parts by a hash, and each two parts meet in a task of their
@@ -60,7 +60,9 @@ def _blocks(rows: DataFrame, id_col: str, vector: str, by: str | None, fold: Cal
         for size in np.unique(width[whole]):
             at = np.flatnonzero(whole & (width == size))
             m = flat[ends[at][:, None] + np.arange(size)].astype(float)
-            m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+            norms = np.linalg.norm(m, axis=1, keepdims=True)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                m = m / (norms if undefined else np.maximum(norms, 1e-300))
             here, there = (np.arange(len(at)),) * 2 if own else (np.flatnonzero(part[at] == part.min()), np.flatnonzero(part[at] != part.min()))
             ids, others = all_ids[at][here], all_ids[at][there]
             for k in range(0, len(here), PAIR_STRIP):
@@ -72,11 +74,12 @@ def _blocks(rows: DataFrame, id_col: str, vector: str, by: str | None, fold: Cal
     return cells.groupBy("by", "a", "b").applyInArrow(run, schema)
 
 
-def all_pairs(rows: DataFrame, id_col: str, vector: str, least: float | None = None, by: str | None = None) -> DataFrame:
+def all_pairs(rows: DataFrame, id_col: str, vector: str, least: float | None = None, by: str | None = None, undefined: bool = False) -> DataFrame:
     """i, j, sim for all i < j whose cosine reaches ``least``: every pair is looked at, as products of blocks of vectors.
 
     With ``by``, pairs have an equal value of it (not null). Pairs leave a task strip by strip, see :func:`_blocks`. Ids are longs;
-    rows without a vector, or with one of another width than the block's, make no pair.
+    rows without a vector, or with one of another width than the block's, make no pair. With ``undefined``, a pair whose cosine is
+    not a number, as that of a zero vector, reaches any ``least``, as it does in SQL.
     """
 
     def fold(strips: Strips) -> Iterator[pa.RecordBatch]:
@@ -84,12 +87,12 @@ def all_pairs(rows: DataFrame, id_col: str, vector: str, least: float | None = N
             x, y = ids[:, None], others[None, :]
             keep = (x < y) if own else (x != y)
             if least is not None:
-                keep &= sim >= least
+                keep &= ~(sim < least) if undefined else sim >= least
             r, c = np.nonzero(keep)
             left, right = ids[r], others[c]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right)), pa.array(sim[r, c])], ["i", "j", "sim"])
 
-    return _blocks(rows, id_col, vector, by, fold, "i long, j long, sim double")
+    return _blocks(rows, id_col, vector, by, fold, "i long, j long, sim double", undefined)
 
 
 def tables_for(least: float, planes: int, recall: float) -> int:

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from loomspark.operators import consolidation, similarity
+from loomspark.operators import consolidation, positions, similarity
 from loomspark.plans import registry
 
 
@@ -66,3 +66,18 @@ def test_copies_of_a_text_are_one_class(spark, monkeypatch):
     rows = [(i, texts[i % 5], "pro_change" if i % 5 == 4 and i % 2 else "pro_status_quo") for i in range(400)] + [(400, "lonely text", None)]
     got = {r["key"]: r["group"] for r in consolidation.text_groups(spark.createDataFrame(rows, "id long, text string, s string"), "id", "text", "s").collect()}
     assert got == {i: {0: 2, 1: 2, 2: 2, 3: 3, 4: 4 if i % 2 == 0 else 9}[i % 5] for i in range(400)} and sizes == [1]
+
+
+def embeddings(folder, n=60, zero=()):
+    v = np.random.default_rng(3).normal(size=(n, 4)).astype("float32")
+    v[list(zero)] = 0
+    pd.DataFrame({"vec_id": np.arange(n), "embedding": list(v), "label": (np.arange(n) % 3).astype("int32")}).to_parquet(folder / "embeddings.parquet", index=False)
+
+
+@pytest.mark.parametrize("size", [4096, 7])
+def test_merge_candidates_in_blocks(spark, tmp_path, monkeypatch, size):
+    monkeypatch.setattr(similarity, "PAIR_BLOCK", size)
+    monkeypatch.setattr(positions, "_sides", None)
+    embeddings(tmp_path, zero=[5])
+    mine, want = against_sql(spark, tmp_path, "merge_candidates")
+    assert [x[:2] for x in mine] == [x[:2] for x in want] and np.allclose([x[2] for x in mine], [x[2] for x in want], atol=1.1e-6, equal_nan=True) and len(want) > 60
