@@ -84,11 +84,11 @@ def all_pairs(rows: DataFrame, id_col: str, vector: str, least: float | None = N
 
     def fold(strips: Strips) -> Iterator[pa.RecordBatch]:
         for ids, others, sim, own in strips:
-            x, y = ids[:, None], others[None, :]
-            keep = (x < y) if own else (x != y)
-            if least is not None:
-                keep &= ~(sim < least) if undefined else sim >= least
-            r, c = np.nonzero(keep)
+            keep = np.ones(sim.shape, bool) if least is None else ~(sim < least) if undefined else sim >= least
+            r, c = np.divmod(np.flatnonzero(keep), len(others))
+            if own:  # a block with itself has each pair twice; ids of different parts differ
+                once = ids[r] < others[c]
+                r, c = r[once], c[once]
             left, right = ids[r], others[c]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right)), pa.array(sim[r, c])], ["i", "j", "sim"])
 
@@ -117,16 +117,16 @@ def sign_hashes(rows: DataFrame, id_col: str, vector: str, tables: int = 12, pla
 
 
 def lsh_pairs(rows: DataFrame, id_col: str, vector: str, least: float, planes: int = 3, recall: float = 0.98) -> DataFrame:
-    """Pairs that share a bucket and reach ``least``: a hash join in place of the quadratic one; candidates are not capped.
+    """Pairs that share a bucket and reach ``least``; candidates are not capped, and not stored: each bucket is compared in blocks.
 
-    There are as many tables as give a pair at the threshold the wanted probability; low thresholds need few planes.
+    There are as many tables as give a pair at the threshold the wanted probability; low thresholds need few planes. Where the buckets
+    of all tables hold half of all pairs or more, all pairs are compared once instead, which costs less and misses none.
     """
-    hashed = sign_hashes(rows, id_col, vector, tables_for(least, planes, recall), planes)
-    keys = hashed.select(id_col, "bucket")
-    pairs = keys.select(F.col(id_col).alias("i"), "bucket").join(keys.select(F.col(id_col).alias("j"), "bucket"), "bucket").where("i < j").select("i", "j").distinct()
-    v = rows.select(id_col, vector)
-    full = pairs.join(v.select(F.col(id_col).alias("i"), F.col(vector).alias("v_i")), "i").join(v.select(F.col(id_col).alias("j"), F.col(vector).alias("v_j")), "j")
-    return full.select("i", "j", cosine(F.col("v_i"), F.col("v_j")).alias("sim")).where(F.col("sim") >= least)
+    tables = tables_for(least, planes, recall)
+    if tables >= 2**planes / 2:
+        return all_pairs(rows, id_col, vector, least)
+    found = all_pairs(sign_hashes(rows, id_col, vector, tables, planes), id_col, vector, least, "bucket")
+    return found.groupBy("i", "j").agg(F.max("sim").alias("sim"))
 
 
 def distribution(rows: DataFrame, id_col: str, vector: str, digits: int = 6) -> DataFrame:
@@ -136,11 +136,12 @@ def distribution(rows: DataFrame, id_col: str, vector: str, digits: int = 6) ->
     the bins of the wanted places. Rounding keeps the order, so the rounded value at a place is the place's value, rounded.
     """
     coarse = 10 ** max(0, digits - 3)
+    low = 10**digits // coarse + 1  # bins below 0; a value that is not a number has one above all
     key = lambda sim: np.where(np.isnan(sim), 2 * 10**digits, np.sign(sim) * np.floor(np.abs(sim) * 10**digits + 0.5)).astype(np.int64)
 
     def values(strips: Strips) -> Iterator[np.ndarray]:
         for ids, others, sim, own in strips:
-            yield sim[(ids[:, None] < others[None, :]) if own else (ids[:, None] != others[None, :])]
+            yield sim[ids[:, None] < others[None, :]] if own else sim.ravel()
 
     def batch(total: dict[int, int], **moments: float) -> pa.RecordBatch:
         filled = {name: np.array([x] + [0.0] * len(total)) for name, x in moments.items()}
@@ -153,16 +154,20 @@ def distribution(rows: DataFrame, id_col: str, vector: str, digits: int = 6) ->
             if len(sim):
                 mean = sim.mean()
                 mass, square, apart = mass + len(sim) * mean, square + len(sim) * mean * mean, apart + float(((sim - mean) ** 2).sum())
-                for k, n in zip(*np.unique(key(sim) // coarse, return_counts=True)):
-                    total[int(k)] = total.get(int(k), 0) + int(n)
+                counts = np.bincount(key(sim) // coarse + low)
+                for k in np.flatnonzero(counts):
+                    total[int(k) - low] = total.get(int(k) - low, 0) + int(counts[k])
         yield batch(total, mass=mass, square=square, apart=apart)
 
     def second(bins: list[int]):
+        wanted = np.zeros(4 * low, bool)
+        wanted[[b + low for b in bins]] = True
+
         def fold(strips: Strips) -> Iterator[pa.RecordBatch]:
             total: dict[int, int] = {}
             for sim in values(strips):
                 k = key(sim)
-                for x, n in zip(*np.unique(k[np.isin(k // coarse, bins)], return_counts=True)):
+                for x, n in zip(*np.unique(k[wanted[k // coarse + low]], return_counts=True)):
                     total[int(x)] = total.get(int(x), 0) + int(n)
             yield batch(total)
 

@@ -81,3 +81,16 @@ def test_merge_candidates_in_blocks(spark, tmp_path, monkeypatch, size):
     embeddings(tmp_path, zero=[5])
     mine, want = against_sql(spark, tmp_path, "merge_candidates")
     assert [x[:2] for x in mine] == [x[:2] for x in want] and np.allclose([x[2] for x in mine], [x[2] for x in want], atol=1.1e-6, equal_nan=True) and len(want) > 60
+
+
+@pytest.mark.parametrize("planes, least", [(3, 0.6), (6, 0.9)])
+def test_sign_hashing_stores_no_candidates(spark, monkeypatch, planes, least):
+    asked = []
+    monkeypatch.setattr(similarity, "all_pairs", lambda *a, f=similarity.all_pairs: (asked.append(a[3:]), f(*a))[1])
+    v = np.random.default_rng(2).normal(size=(120, 8))
+    v[60:] = v[:60] + np.random.default_rng(3).normal(size=(60, 8)) * 0.3
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(i, j) for i in range(120) for j in range(i + 1, 120) if unit[i] @ unit[j] >= least}
+    got = [(r["i"], r["j"]) for r in similarity.lsh_pairs(spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)], "id long, v array<double>"), "id", "v", least, planes).collect()]
+    assert len(got) == len(set(got)) and set(got) <= want and len(got) >= (0.9 if planes == 6 else 1) * len(want) > 20
+    assert asked == [(least, "bucket") if planes == 6 else (least,)]
