@@ -1,12 +1,15 @@
 """What larger tables and ties showed: places of rows, rounds without a bound, pairs in blocks, copies as classes."""
 
+import re
+
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomspark.operators import consolidation, integrity, positions, similarity
+from loomspark.operators import consolidation, dedupe, integrity, positions, similarity
 from loomspark.plans import registry
 
 
@@ -121,3 +124,59 @@ def test_redundant_compares_titles_once(spark, monkeypatch):
                 want |= {(i, j)} if sim >= 0.85 or sim >= 0.6 and over >= 0.5 else set()
     got = [(r["id_1"], r["id_2"]) for r in positions.redundant(spark.createDataFrame(rows, "id long, theme string, title string, m array<int>"), "id", "theme", "title", "m").collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 1000 and met[0] <= 10
+
+
+def test_large_groups_of_near_copies_store_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("bdfgklmnprstvåø"), 6))
+    texts = []
+    for size, copies in ((60, 150), (200, 90), (90, 5), (40, 1), (40, 1)):
+        base = [word() for _ in range(size)]
+        for _ in range(copies):  # from alike to too different, so that many are linked through others only
+            own = base[: size - int(rng.integers(0, size // 6 + 1))]
+            for _ in range(int(rng.integers(0, 1 + size // 50))):
+                own[int(rng.integers(0, len(own)))] = word()
+            texts.append(" ".join(own))
+    texts += [texts[0], texts[0].upper(), texts[3].replace(" ", " ,of- "), f"{texts[7]} {texts[7]}", None, "short", "ab cd " * 40, "four words are here " + "x " * 90]
+    rows = [*enumerate(texts), (None, texts[0]), (5, texts[160]), (900, texts[160])]
+    grams = {}
+    for i, t in rows:
+        w = re.findall(r"[a-z0-9_æøå]{3,}", (t or "").lower())
+        if i is not None and len(t or "") >= 100:
+            grams.setdefault(frozenset(zip(w, w[1:], w[2:], w[3:])), set()).add(i)
+    grams.pop(frozenset(), None)
+    root = {i: i for i, _ in rows}
+
+    def top(i):
+        return i if root[i] == i else top(root[i])
+
+    sets, met = list(grams), []
+    for k, x in enumerate(sets):
+        for y in sets[: k + 1]:
+            if x is y or len(x & y) / len(x | y) >= 0.8:
+                for i in grams[x] | grams[y]:
+                    a, b = sorted((top(i), top(min(grams[x]))))
+                    root[b] = a
+    groups = {}
+    for i in {i for ids in grams.values() for i in ids}:
+        groups.setdefault(top(i), set()).add(i)
+    want = {(i, g, len(m)) for g, m in groups.items() if len(m) > 1 for i in m}
+    monkeypatch.setattr(dedupe, "checkpointed", lambda d, f=dedupe.checkpointed: (met.append((d.count(), d.schema.simpleString())), f(d))[1])
+    d = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    assert {tuple(r) for r in dedupe.copy_groups(d, "id", "text").collect()} == want and max(n for *_, n in want) > 200
+    assert max(n for n, _ in met) < 20 * len(rows) and not any("array" in kind for _, kind in met)
+
+
+@pytest.mark.parametrize("n", range(1, 400, 7))
+def test_prefixes_are_never_too_short(n):
+    for least in (0.5, 0.6, 0.7, 0.8, 0.9):
+        (part,) = dedupe._prefixes(np.zeros(dedupe.CELLS, np.uint32), 1, least)(iter([pa.RecordBatch.from_pydict({"lower": [" ".join(f"word{i}" for i in range(n + 3))]})]))
+        assert len(np.frombuffer(part["packed"][0].as_py(), dedupe.POSTING)) == n - -(-n * round(10 * least) // 10) + 1
+
+
+def test_no_texts_no_groups(spark):
+    d = spark.createDataFrame([(1, None), (2, "short")], "id string, text string")
+    assert dedupe.copy_groups(d, "id", "text").collect() == []
+    long = "These are some words in a text that is long enough to count as an answer, written by one who was asked."
+    both = d.union(spark.createDataFrame([("b", long), ("a", long + "!")], d.schema))
+    assert {tuple(r) for r in dedupe.copy_groups(both, "id", "text").collect()} == {("a", "a", 2), ("b", "a", 2)}
