@@ -6,7 +6,8 @@ Texts are read again for each step instead of being stored with their grams; wha
 2. Prefix filtering finds every pair of similar sets without comparing all: with grams in one order, two sets of
    similarity t have their first common gram among the first n - ceil(t n) + 1 of each. Any order will do; rare grams come
    first, by counts of ``CELLS`` cells of hashes. Only these grams are dealt out, packed, and a pair is a candidate
-   only if the sizes, and the grams that are left after the common one, suffice for t.
+   only if the sizes, and the grams that are left after the common one, suffice for t, and if bit maps of the
+   two sets, of about a bit a gram, do not tell more grams apart than t allows. Only the sets left are read again and compared.
 3. Where a gram has more candidates than ``PAIRS`` a set, as in a large group of near copies, its sets are a crowd: each is
    compared with one pivot of the crowd. Sets that differ from their pivot may still be linked to others: crowds that
    overlap are put together to families, whose sets outside the largest class meet all sets, in blocks.
@@ -82,6 +83,22 @@ def _short(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
 
+def _bits(grams: np.ndarray) -> bytes:
+    """A bit map of grams by their last bits, with at least as many bits as grams."""
+    found = np.zeros(max(8, 1 << (len(grams) - 1).bit_length()), bool)
+    found[(grams & _U(len(found) - 1)).astype(np.int64)] = True
+    return np.packbits(found).tobytes()
+
+
+def _most_common(x: np.ndarray, y: np.ndarray, n_x: int, n_y: int) -> int:
+    """What two sets have in common at most, by their bit maps: a bit that only one has is a gram of its own."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    return min(n_x - int(np.bitwise_count(x & ~y).sum()), n_y - int(np.bitwise_count(y & ~x).sum()))
+
+
 def _each(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
     """Row and grams of the texts that have any."""
     for i, lower in enumerate(batch["lower"]):
@@ -95,13 +112,15 @@ def _cell(grams: np.ndarray) -> np.ndarray:
 
 
 def _keys_and_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, key and set of each text; after them, with a slice each, how many grams of all these texts each cell has."""
-    counts, names, kind = np.zeros(CELLS, np.int64), ["id", "key", "set", "slice", "counts"], None
+    """id, key, set, size and bit map of each text; after them, with a slice each, how many grams of all these texts each cell has."""
+    counts, names, kind = np.zeros(CELLS, np.int64), ["id", "key", "set", "n", "bits", "slice", "counts"], None
     for batch in batches:
-        at, keys, cells, kind = [], [], [], batch["id"].type
+        at, keys, sizes, bits, cells, kind = [], [], [], [], [], batch["id"].type
         for i, grams in _each(batch):
             at.append(i)
             keys.append(_key(grams))
+            sizes.append(len(grams))
+            bits.append(_bits(grams))
             cells.append(_cell(grams))
             if sum(map(len, cells[-64:])) > HELD or len(cells) == 1024:
                 counts += np.bincount(np.concatenate(cells), minlength=CELLS)
@@ -109,10 +128,10 @@ def _keys_and_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         if cells:
             counts += np.bincount(np.concatenate(cells), minlength=CELLS)
         none = [pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(at, pa.int64())), pa.array(keys, pa.binary()), pa.array(map(_short, keys), pa.int64()), *none], names)
+        yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(at, pa.int64())), pa.array(keys, pa.binary()), pa.array(map(_short, keys), pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), *none], names)
     if kind is not None:
         packed = [x.tobytes() for x in np.split(np.minimum(counts, 2**32 - 1).astype("<u4"), SLICES)]
-        yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, kind), pa.nulls(SLICES, pa.binary()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array(packed, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, kind), pa.nulls(SLICES, pa.binary()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int32()), pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(packed, pa.binary())], names)
 
 
 def _sum_of_slice(part: pa.Table) -> pa.Table:
@@ -189,9 +208,14 @@ def _candidates(least: float) -> Callable:
         # Postings of one gram whose sizes are too far apart do not meet.
         cuts = np.flatnonzero((rows["gram"][1:] != rows["gram"][:-1]) | (rows["n"][:-1] < least * rows["n"][1:] - 1e-6)) + 1
         pairs, crowds = set(), set()
-        for lo, hi in zip(np.append(0, cuts), np.append(cuts, len(rows))):
-            if hi - lo < 2:
-                continue
+        starts, ends = np.append(0, cuts), np.append(cuts, len(rows))
+        two = starts[ends - starts == 2]
+        x, y = rows[two], rows[two + 1]
+        left = np.minimum(x["n"].astype(np.int64) - x["at"], y["n"].astype(np.int64) - y["at"])
+        suit = left >= (x["n"].astype(np.int64) + y["n"]) * (least / (1 + least)) - 1e-6
+        pairs.update(zip(np.minimum(x["set"], y["set"])[suit].tolist(), np.maximum(x["set"], y["set"])[suit].tolist()))
+        many = ends - starts > 2
+        for lo, hi in zip(starts[many], ends[many]):
             own = rows[lo:hi]
             met = _meetings(own, least)
             if met is None:
@@ -208,8 +232,25 @@ def _candidates(least: float) -> Callable:
     return run
 
 
+def _sifted(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
+    """a, b (keys), crowd, maybe: pairs (a, b, sets) that bit maps leave, and all of crowds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maybe = []
+            for x, y, n, m in zip(batch["bits_a"], batch["bits_b"], batch["n_a"].to_pylist(), batch["n_b"].to_pylist()):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint8) for v in (x, y))
+                maybe.append(_most_common(x, y, n, m) >= (n + m) * (least / (1 + least)) - 1e-6)
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], batch["crowd"], pa.array(maybe, pa.bool_())], ["a", "b", "crowd", "maybe"])
+
+    side = lambda x: reps.select(F.col("set").alias(f"set_{x}"), F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    joined = pairs.toDF("set_a", "set_b", "crowd").join(side("b"), "set_b").join(side("a"), "set_a")
+    found = joined.select("a", "b", "crowd", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a binary, b binary, crowd boolean, maybe boolean")
+    return found.where("crowd or maybe")
+
+
 def _wanted_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """set, key, grams (packed), once each, of the sets in ``wanted`` (set, rep).
+    """key, grams (packed), once each, of the sets in ``wanted`` (key, rep).
 
     A bit map of ids tells texts that are not wanted, so that few others are hashed and dealt out.
     """
@@ -228,12 +269,12 @@ def _wanted_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 key = _key(grams)
                 if key not in seen:
                     seen.add(key)
-                    found.append((_short(key), key, grams.tobytes()))
+                    found.append((key, grams.tobytes()))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), (pa.int64(), pa.binary(), pa.binary()))], ["set", "key", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), (pa.binary(), pa.binary()))], ["key", "grams"])
 
-    kept = texts.select(slot("id").alias("slot"), "lower").mapInArrow(run, "set long, key binary, grams binary").join(wanted.select("set").distinct(), "set", "left_semi")
-    return checkpointed(kept.groupBy("key").agg(F.first("set").alias("set"), F.first("grams").alias("grams")))
+    kept = texts.select(slot("id").alias("slot"), "lower").mapInArrow(run, "key binary, grams binary").join(wanted, "key", "left_semi")
+    return checkpointed(kept.dropDuplicates(["key"]))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -248,9 +289,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 linked.append(both / (len(x) + len(y) - both) >= least)
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], batch["crowd"], pa.array(linked, pa.bool_())], ["a", "b", "crowd", "linked"])
 
-    side = lambda n: sets.select(F.col("set").alias(f"set_{n}"), F.col("key").alias(n), F.col("grams").alias(f"grams_{n}"))
-    joined = pairs.toDF("set_a", "set_b", "crowd").join(side("b").hint("merge"), "set_b").join(side("a").hint("merge"), "set_a")
-    return joined.select("a", "b", "crowd", "grams_a", "grams_b").mapInArrow(run, "a binary, b binary, crowd boolean, linked boolean")
+    side = lambda n: sets.select(F.col("key").alias(n), F.col("grams").alias(f"grams_{n}"))
+    joined = pairs.where("maybe").join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a")
+    found = joined.select("a", "b", "crowd", "grams_a", "grams_b").mapInArrow(run, "a binary, b binary, crowd boolean, linked boolean")
+    return found.unionByName(pairs.where("not maybe").select("a", "b", "crowd", F.lit(False).alias("linked")))
 
 
 def _links_between(opened: pa.Table, members: pa.Table, least: float) -> set[tuple[bytes, bytes]]:
@@ -283,7 +325,7 @@ def _family_links(checked: DataFrame, sets: DataFrame, least: float) -> DataFram
     own = lambda side: found.select(F.col("key").alias(side), F.col("component").alias(f"class_{side}"))
     apart = checkpointed(crowd.join(own("a"), "a").join(own("b"), "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).where("a <> b").distinct())
     family = components(ends(apart), apart, "key").toDF("component", "family")
-    rows = ends(crowd).join(found, "key").join(family, "component").join(sets.select("key", "grams"), "key")
+    rows = ends(crowd).join(found, "key").join(family, "component").join(sets, "key")
     rows = checkpointed(rows.withColumn("bytes", F.octet_length("grams").cast("long")))
     sizes = rows.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     whole = sizes.groupBy("family").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "component", "bytes")).alias("top"))
@@ -307,18 +349,18 @@ def copy_links(docs: DataFrame, id_col: str, text_col: str, least: float = 0.8,
     They join just the texts that all such pairs join; not all pairs are among them: copies give a star, and so do large groups.
     """
     texts = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) >= shortest)).select(F.col(id_col).alias("id"), F.lower(text_col).alias("lower"))
-    first = checkpointed(texts.mapInArrow(_keys_and_counts, f"id {docs.schema[id_col].dataType.simpleString()}, key binary, set long, slice int, counts binary"))
-    rows = first.where("slice is null").select("id", "key", "set")
-    reps = checkpointed(rows.groupBy("key", "set").agg(F.min("id").alias("rep")))
-    copies = rows.drop("set").join(reps, "key").where("id <> rep").select(F.least("id", "rep").alias("i"), F.greatest("id", "rep").alias("j"))
+    first = checkpointed(texts.mapInArrow(_keys_and_counts, f"id {docs.schema[id_col].dataType.simpleString()}, key binary, set long, n int, bits binary, slice int, counts binary"))
+    rows = first.where("slice is null").select("id", "key", "set", "n", "bits")
+    reps = checkpointed(rows.groupBy("key", "set", "n").agg(F.min("id").alias("rep"), F.first("bits").alias("bits")))
+    copies = rows.select("id", "key").join(reps.select("key", "rep"), "key").where("id <> rep").select(F.least("id", "rep").alias("i"), F.greatest("id", "rep").alias("j"))
     counts = np.zeros(CELLS, np.uint32)
     for r in first.where("slice is not null").groupBy("slice").applyInArrow(_sum_of_slice, "slice int, counts binary").collect():
         counts.reshape(SLICES, -1)[r["slice"]] = np.frombuffer(r["counts"], "<u4")
     parts = int(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), counts.sum(dtype=np.int64) * (1 - least) / POSTINGS + 1))
     dealt = texts.select("lower").mapInArrow(_prefixes(counts, parts, least), "part int, packed binary")
     tested = dealt.groupBy("part").applyInArrow(_candidates(least), "a long, b long, crowd boolean")
-    tested = checkpointed(tested.groupBy("a", "b").agg(F.bool_or("crowd").alias("crowd")))
-    sets = _wanted_sets(texts, tested.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(reps.select("set", "rep"), "set"))
+    tested = checkpointed(_sifted(tested.groupBy("a", "b").agg(F.bool_or("crowd").alias("crowd")), reps, least))
+    sets = _wanted_sets(texts, tested.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(reps.select("key", "rep"), "key"))
     checked = checkpointed(_verified(tested, sets, least))
     near = checked.where("linked").select("a", "b")
     if not checked.where("crowd and not linked").isEmpty():
