@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomspark.functions import labels as L
 from loomspark.operators import positions as P
 from loomspark.plans.registry import query
-from loomspark.sources.tables import read
+from loomspark.sources.tables import checkpointed, read
 
 _POS = r"""m AS (SELECT l_partkey, list_sort(list(DISTINCT l_suppkey)) AS members FROM lineitem GROUP BY 1),
 pos AS (SELECT p_partkey AS id, p_brand AS theme, p_type AS title, members, list_distinct(list_filter(string_split_regex(regexp_replace(lower(p_type), '[^\w\sæøå]', ' ', 'g'), '\s+'), lambda w: w <> '')) AS w
@@ -16,15 +16,14 @@ pr AS (SELECT a.id AS i, b.id AS j, a.members AS x, b.members AS y, len(a.member
 
 
 def positions(spark, d):
-    members = read(spark, d, "lineitem").groupBy("l_partkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("members"))
+    members = read(spark, d, "lineitem").groupBy("l_partkey").agg(F.sort_array(F.collect_set("l_suppkey")).alias("members"))
     return read(spark, d, "part").join(members, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("theme"), F.col("p_type").alias("title"), "members")
 
 
 @query("redundant_pairs", f"""WITH {_POS}, o AS (SELECT i, j, sim, len(list_intersect(x, y)) / CAST(least(n, k) AS DOUBLE) AS ov FROM pr WHERE i < j)
 SELECT i AS id_1, j AS id_2, round(sim, 6) AS title_sim, round(ov, 6) AS overlap FROM o WHERE sim >= 0.85 OR (sim >= 0.6 AND ov >= 0.5)""")
 def redundant_pairs(spark, d):
-    out = P.redundant(positions(spark, d), "id", "theme", "title", "members")
-    return out.select("id_1", "id_2", F.round("title_sim", 6).alias("title_sim"), F.round("overlap", 6).alias("overlap"))
+    return P.redundant(checkpointed(positions(spark, d)), "id", "theme", "title", "members", digits=6)
 
 
 @query("micro_best_match", f"""WITH {_POS}, r AS (SELECT i, j, sim, row_number() OVER (PARTITION BY i ORDER BY sim DESC, k DESC, j) AS r FROM pr WHERE n <= 25 AND k > 25 AND sim >= 0.3)

@@ -180,3 +180,35 @@ def test_no_texts_no_groups(spark):
     long = "These are some words in a text that is long enough to count as an answer, written by one who was asked."
     both = d.union(spark.createDataFrame([("b", long), ("a", long + "!")], d.schema))
     assert {tuple(r) for r in dedupe.copy_groups(both, "id", "text").collect()} == {("a", "a", 2), ("b", "a", 2)}
+
+
+@pytest.mark.parametrize("block, strip, share", [(2048, 2**18, 1 / 16), (7, 50, 0.3), (5, 20, 2.0)])
+def test_redundant_in_blocks(spark, monkeypatch, block, strip, share):
+    monkeypatch.setattr(positions, "BLOCK", block, raising=False)
+    monkeypatch.setattr(positions, "STRIP", strip, raising=False)
+    monkeypatch.setattr(positions, "COMMON_MEMBER", share, raising=False)
+    monkeypatch.setattr(positions.T, "overlap", None)  # no pair is looked at on its own
+    rng = np.random.default_rng(5)
+    titles = ["a b c", "C b a", "a b c d", "a b c e", "x y", "x", None]
+    rows = [(int(i), f"t{i % 2}", titles[rng.integers(7)], [[], None][i % 2] if i % 20 > 17 else [int(x) for x in [7, *rng.integers(0, 12, rng.integers(0, 6))]]) for i in rng.integers(0, 110, 130)]
+    words, want = [frozenset((t or "").lower().split()) for _, _, t, _ in rows], []
+    for (i, a, t, m), v in zip(rows, words):
+        for (j, b, u, n), w in zip(rows, words):
+            if i < j and a == b and t and u:
+                sim, least = len(v & w) / len(v | w), min(len({*x}) for x in (m, n) if x is not None) if m is not None or n is not None else None
+                over = 0.0 if least == 0 else None if m is None or n is None else len({*m} & {*n}) / least
+                if sim >= 0.85 or sim >= 0.6 and over is not None and over >= 0.5:
+                    want.append((i, j, float(np.floor(sim * 1e6 + 0.5) / 1e6), over if over is None else float(np.floor(over * 1e6 + 0.5) / 1e6)))
+    got = positions.redundant(spark.createDataFrame(rows, "id long, theme string, title string, m array<int>"), "id", "theme", "title", "m", digits=6)
+    order = lambda x: sorted(map(repr, x))
+    assert order(map(tuple, got.collect())) == order(want) and {x[2] for x in want} == {0.6, 0.75, 1.0} and None in {x[3] for x in want}
+
+
+def test_redundant_pairs_over_copies(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(positions, "BLOCK", 30, raising=False)
+    monkeypatch.setattr(positions.T, "overlap", None)
+    rng = np.random.default_rng(6)
+    pd.DataFrame({"p_partkey": np.arange(240), "p_brand": [f"Brand#{k}" for k in np.arange(240) % 2], "p_type": rng.choice(["SMALL", "LARGE TIN", "tin large", "PROMO"], 240)}).to_parquet(tmp_path / "part.parquet", index=False)
+    pd.DataFrame({"l_partkey": rng.integers(0, 235, 3000), "l_suppkey": rng.integers(0, 90, 3000)}).to_parquet(tmp_path / "lineitem.parquet", index=False)
+    mine, want = against_sql(spark, tmp_path, "redundant_pairs")
+    assert mine == want and len(want) > 4000
